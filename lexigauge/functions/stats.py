@@ -90,7 +90,7 @@ def correlation_p_value(rho: Column, n: Column) -> Column:
     t = r * F.sqrt(df / c2)
     normal = t * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
     return (
-        F.when(df < 1, F.lit(None).cast("double"))
+        F.when((df < 1) | rho.isNull(), F.lit(None).cast("double"))
         .when(r >= 1.0, F.lit(0.0))
         .when(df <= SERIES_MAX_DF, F.greatest(F.lit(0.0), F.lit(1.0) - inside))
         .otherwise(erfc(normal / math.sqrt(2.0)))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text as tx
-from lexigauge.operators.tables import durable, number_rows, skew_join
+from lexigauge.operators.tables import durable, number_rows, skew_join, spread
 
 
 def document_bags(
@@ -25,7 +26,7 @@ def document_bags(
 ) -> DataFrame:
     """``(doc_id, bag array<struct<term, n>>)``."""
     found = tx.tokens(F.col("text"), stop_words, preprocess, pattern)
-    return corpus.select("doc_id", tx.bag(found).alias("bag"))
+    return spread(corpus.select("doc_id", "text")).select("doc_id", tx.bag(found).alias("bag"))
 
 
 def without_stop_words(bags: DataFrame, stop_words: Iterable[str]) -> DataFrame:
@@ -145,17 +146,31 @@ def cells(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FittedMatrix:
-    """A corpus taken apart once: everything the three scores share, already written."""
+    """A corpus taken apart once and written: what all scores share."""
 
     bags: DataFrame
-    frequency: DataFrame
     facts: CorpusFacts
 
-    def vocab(self, min_df: int) -> DataFrame:
-        return vocabulary(self.frequency, min_df)
+    @cached_property
+    def frequency(self) -> DataFrame:
+        """Document frequency of every term, counted when first asked for."""
+        return durable(document_frequency(self.bags), "frequency")
 
-    def rows(self, score: str, min_df: int, carry: Iterable[str] = (), vocab: DataFrame | None = None) -> DataFrame:
-        return weighted_rows(self.bags, self.vocab(min_df) if vocab is None else vocab, self.facts, score, carry)
+    def vocab(self, min_df: int, only: DataFrame | None = None) -> DataFrame:
+        """Terms of the model; with ``only`` just those asked for, counted on their own."""
+        counted = self.frequency if only is None else document_frequency(self.bags, only)
+        return vocabulary(counted, min_df)
+
+    def rows(self, score: str, min_df: int) -> DataFrame:
+        return weighted_rows(self.bags, self.vocab(min_df), self.facts, score)
+
+    def without(self, stop_words: Iterable[str]) -> FittedMatrix:
+        """The same corpus without these words; the texts are not read again."""
+        return fitted(durable(without_stop_words(self.bags, stop_words), "bags"))
+
+
+def fitted(bags: DataFrame) -> FittedMatrix:
+    return FittedMatrix(bags, corpus_facts(bags))
 
 
 def fit_matrix(
@@ -164,13 +179,8 @@ def fit_matrix(
     preprocess: Callable[[Column], Column] = tx.normalize,
     pattern: str = tx.TOKEN_PATTERN,
 ) -> FittedMatrix:
-    """Tokenise once, write the bags, count the document frequencies once."""
-    return refit(durable(document_bags(corpus, stop_words, preprocess, pattern), "bags"))
-
-
-def refit(bags: DataFrame) -> FittedMatrix:
-    frequency = durable(document_frequency(bags), "frequency")
-    return FittedMatrix(bags, frequency, corpus_facts(bags))
+    """Tokenise once and write the bags."""
+    return fitted(durable(document_bags(corpus, stop_words, preprocess, pattern), "bags"))
 
 
 def model_stats(frequency: DataFrame, facts: CorpusFacts, min_df: int, truncate: int | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from lexigauge.functions import stats
 from lexigauge.functions import text as tx
-from lexigauge.operators.tables import durable, skew_join
+from lexigauge.operators.tables import durable, skew_join, spread
 
 UNKNOWN_WEIGHT = 1e-5
 # A questionnaire up to this many (text, token) rows and pairs travels to every task.
@@ -38,14 +38,12 @@ def text_bags(
 ) -> DataFrame:
     """``(text_id, term, n)``: the token multiset of each text, one empty word for an empty one."""
     found = tx.guarded(tx.tokens(F.col("text"), stop_words, preprocess, pattern))
-    return texts.select("text_id", F.inline(tx.bag(found)))
+    return spread(texts).select("text_id", F.inline(tx.bag(found)))
 
 
 def mark_known(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Add ``known``: is the term a row of the model? The vocabulary is cut to the terms at hand
-    before it is joined, so the large side is read once and never sent around."""
-    asked = tokens.select("term").distinct()
-    present = vocab.select("term").join(asked, "term", "left_semi").withColumn("known", F.lit(True))
+    """Add ``known``: is the term a row of the model?"""
+    present = vocab.select("term", F.lit(True).alias("known"))
     return tokens.join(present, "term", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 

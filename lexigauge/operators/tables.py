@@ -41,6 +41,13 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a scan that has fewer splits than there are cores, ahead of
+    costly work per row. Large tables have more splits than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def skew_join(
     big: DataFrame,
     small: DataFrame,
