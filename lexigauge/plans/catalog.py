@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigauge.config import sweep_configs
 from lexigauge.functions import labels
 from lexigauge.functions import text as tx
 from lexigauge.functions.stats import round6
 from lexigauge.functions.stopwords import ENGLISH
 from lexigauge.operators import evaluation as ev
+from lexigauge.operators import lsa
 from lexigauge.operators import matrix as mx
 from lexigauge.operators import ranking as rk
 from lexigauge.operators import similarity as sim
 from lexigauge.operators.tables import durable, largest_group
 from lexigauge.plans import apply as ap
+from lexigauge.plans import sweep as sw
 from lexigauge.plans.oracles import oracles  # noqa: F401
 from lexigauge.sources import corpus as cp
 from lexigauge.sources import questionnaire as qn
@@ -345,6 +348,77 @@ def dense_cosine(spark, sf):
     return out.select("a", "b", round6(F.col("similarity")).alias("similarity"))
 
 
+# ---------------------------------------------------------------- reduced models
+
+LSA_K = 20
+
+
+def _term_rows(spark, sf, score="tfidf"):
+    return lsa.term_rows(mx.fit_matrix(_corpus(spark, sf)), score, MIN_DF)
+
+
+def _singular_values(spark, svd):
+    rows = [(i + 1, float(x)) for i, x in enumerate(svd.sigma)]
+    return spark.createDataFrame(rows, "component bigint, sigma double")
+
+
+@query
+def lsa_singular_values(spark, sf):
+    svd = lsa.truncated_svd(_term_rows(spark, sf), LSA_K)
+    return _singular_values(spark, svd).select("component", round6(F.col("sigma")).alias("sigma"))
+
+
+@query
+def lsa_randomized(spark, sf):
+    svd = lsa.randomized_svd(_term_rows(spark, sf), LSA_K)
+    return _singular_values(spark, svd).select("component", F.round("sigma", 2).alias("sigma"))
+
+
+@query
+def lsa_entries(spark, sf):
+    """The rank-k matrix at every cell that the matrix itself fills."""
+    fitted = mx.fit_matrix(_corpus(spark, sf))
+    svd = lsa.truncated_svd(lsa.term_rows(fitted, "count", MIN_DF), LSA_K)
+    cells = mx.cells(mx.score_rows(fitted.bags, "count"))
+    out = lsa.reconstruct(cells, durable(svd.term_factors()), durable(svd.doc_factors()))
+    return out.select("term", "doc_id", round6(F.col("weight")).alias("weight"))
+
+
+@query
+def lsa_truncate(spark, sf):
+    """Kept columns of a truncated model: how much of each document the k components hold."""
+    source = _term_rows(spark, sf)
+    svd = lsa.truncated_svd(source, LSA_K)
+    docs = svd.doc_factors(lsa.first_documents(source.rows, 100))
+    share = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    return docs.select("doc_id", round6(share).alias("share"))
+
+
+@query
+def lsa_rank(spark, sf):
+    """The dialogues ranked by one reduced model, made from options as a user would."""
+    config = sweep_configs(dims=(LSA_K,))[1]
+    corpus = _corpus(spark, sf)
+    model = lsa.fit_lsa(mx.fit_matrix(corpus, ENGLISH), config, corpus)
+    texts, pairs, most = _dialogue(spark, sf)
+    out = sw.lsa_similarities(model, durable(sim.text_bags(texts, ENGLISH)), pairs)
+    ranked = rk.rank_candidates(out, ["lp_id"], group_size=most)
+    return ranked.select("lp_id", "sp_id", "rank", round6(F.col("similarity")).alias("similarity"))
+
+
+@query
+def model_sweep(spark, sf):
+    """All 18 models of the study grid, at two ranks that suit the small corpora."""
+    texts, pairs, most = _dialogue(spark, sf)
+    out = sw.sweep(_corpus(spark, sf), texts, pairs, sweep_configs(dims=(10, LSA_K)))
+    described = labels.model_description(*[F.col(c) for c in sw.OPTIONS])
+    named = durable(out.select(described.alias("model"), "lp_id", "sp_id", "similarity"), "sweep")
+    ranked = rk.rank_candidates(named, ["model", "lp_id"], group_size=most)
+    return ranked.select(
+        "model", "lp_id", "sp_id", "rank", round6(F.col("similarity")).alias("similarity")
+    )
+
+
 # ---------------------------------------------------------------- evaluation
 
 
