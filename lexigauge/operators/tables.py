@@ -32,12 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
+def durable(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it
     nor depend on the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexigauge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
