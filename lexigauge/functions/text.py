@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What counts as a price, a year and a token.
@@ -26,6 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, keys: list[str], generator: Column, *names: str) -> DataFrame:
+    """``df.select(keys, generator)`` for an outer generator over a costly array.
+
+    For an inner one the optimiser infers the filter ``size(array) > 0``, computes the array a
+    second time for it, and may do so ahead of ``spread``.
+    """
+    made = df.select(*keys, generator.alias(*names) if names else generator)
+    return made.filter(F.col(made.columns[-1]).isNotNull())
+
+
 def normalize(text: Column) -> Column:
     """Lower case, then prices and four-digit runs replaced by upper-case marks."""
     priced = F.regexp_replace(F.lower(text), PRICE_PATTERN, PRICE_MARK)

@@ -37,12 +37,12 @@ def without_stop_words(bags: DataFrame, stop_words: Iterable[str]) -> DataFrame:
 
 def term_counts(bags: DataFrame) -> DataFrame:
     """Count score, one row per (document, term)."""
-    return bags.select("doc_id", F.inline("bag"))
+    return tx.unnest(bags, ["doc_id"], F.inline_outer("bag"))
 
 
 def document_frequency(bags: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``(term, df)``; with ``only`` just for those terms, the rest left out before the shuffle."""
-    terms = bags.select(F.explode("bag.term").alias("term"))
+    terms = tx.unnest(bags, [], F.explode_outer("bag.term"), "term")
     if only is not None:
         terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("term").agg(F.count("*").alias("df"))
@@ -141,7 +141,7 @@ def score_rows(bags: DataFrame, score: str) -> DataFrame:
 
 def cells(rows: DataFrame) -> DataFrame:
     """Document rows as one row per cell."""
-    return rows.select("doc_id", F.inline("entries"))
+    return tx.unnest(rows, ["doc_id"], F.inline_outer("entries"))
 
 
 @dataclass(frozen=True)

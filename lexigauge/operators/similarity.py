@@ -38,7 +38,7 @@ def text_bags(
 ) -> DataFrame:
     """``(text_id, term, n)``: the token multiset of each text, one empty word for an empty one."""
     found = tx.guarded(tx.tokens(F.col("text"), stop_words, preprocess, pattern))
-    return spread(texts).select("text_id", F.inline(tx.bag(found)))
+    return tx.unnest(spread(texts), ["text_id"], F.inline_outer(tx.bag(found)))
 
 
 def mark_known(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _sums_by_join(
         "pair-terms",
     )
     asked = terms.groupBy("term").agg(F.count("*").alias("_pairs"))
-    cells = rows.select("doc_id", F.inline("entries")).join(asked, "term", "left_semi")
+    cells = tx.unnest(rows, ["doc_id"], F.inline_outer("entries")).join(asked, "term", "left_semi")
     frequency = durable(cells.groupBy("term").agg(F.count("*").alias("_df")), "pair-df")
     total = int(frequency.agg(F.sum("_df")).first()[0] or 0)
     # A hot term is spread over its documents; each part meets all pairs that hold the term.

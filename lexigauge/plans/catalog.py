@@ -17,7 +17,7 @@ from lexigauge.operators import lsa
 from lexigauge.operators import matrix as mx
 from lexigauge.operators import ranking as rk
 from lexigauge.operators import similarity as sim
-from lexigauge.operators.tables import durable, largest_group
+from lexigauge.operators.tables import durable, largest_group, spread
 from lexigauge.plans import apply as ap
 from lexigauge.plans import sweep as sw
 from lexigauge.plans.oracles import oracles  # noqa: F401
@@ -39,7 +39,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return cp.from_table(_read(spark, sf, "documents"))
+    return spread(cp.from_table(_read(spark, sf, "documents")))
 
 
 def _short_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _order_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
 
 @query
 def corpus_scan(spark, sf):
-    return _corpus(spark, sf)
+    return cp.from_table(_read(spark, sf, "documents"))
 
 
 @query
@@ -131,8 +131,9 @@ def normalize_text(spark, sf):
 
 @query
 def tokenize(spark, sf):
-    found = F.posexplode(tx.tokens(F.col("text"))).alias("position", "token")
-    return _corpus(spark, sf).select("doc_id", found).select(
+    found = F.posexplode_outer(tx.tokens(F.col("text")))
+    corpus = _corpus(spark, sf)
+    return tx.unnest(corpus, ["doc_id"], found, "position", "token").select(
         "doc_id", F.col("position").cast("bigint").alias("position"), "token"
     )
 
@@ -145,8 +146,9 @@ def stopword_filter(spark, sf):
 
 @query
 def stopword_flags(spark, sf):
-    words = F.posexplode(tx.split_words(F.col("text"))).alias("position", "word")
-    return _corpus(spark, sf).select("doc_id", words).select(
+    words = F.posexplode_outer(tx.split_words(F.col("text")))
+    corpus = _corpus(spark, sf)
+    return tx.unnest(corpus, ["doc_id"], words, "position", "word").select(
         "doc_id", F.col("position").cast("bigint").alias("position"), "word",
         F.col("word").isin(*ENGLISH).alias("is_stop"),
     )

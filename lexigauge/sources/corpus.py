@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigauge.functions.text import tagged
-from lexigauge.operators.tables import durable, number_rows
+from lexigauge.functions.text import tagged, unnest
+from lexigauge.operators.tables import durable, number_rows, spread
 
 
 def from_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", title: Column | None = None) -> DataFrame:
@@ -37,7 +37,8 @@ def from_tagged_files(spark: SparkSession, path: str, tag: str = "TEXT") -> Data
 
 def from_tagged_column(df: DataFrame, source: str, keys: list[str], tag: str) -> DataFrame:
     """The same for markup held in a column: ``keys``, place in the row, inner text."""
-    return df.select(*keys, F.posexplode(tagged(F.col(source), tag)).alias("position", "text"))
+    found = F.posexplode_outer(tagged(F.col(source), tag))
+    return unnest(spread(df.select(*keys, source)), keys, found, "position", "text")
 
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
