@@ -8,11 +8,13 @@ no dense row is ever built.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,9 @@ from lexigauge.functions import stats
 from lexigauge.functions import text as tx
 from lexigauge.operators.tables import durable, skew_join, spread
 
+# The functions that run in tasks travel with them: workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 UNKNOWN_WEIGHT = 1e-5
 # A questionnaire up to this many (text, token) rows and pairs travels to every task.
 BROADCAST_ROWS = 2_000_000
