@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigauge.llm import decontaminate, language, licenses, mixing, ngram_join, quality, topk
+from lexigauge.llm import decontaminate, html_text, language, licenses, mixing, ngram_join, quality, token_counts, topk, toxicity
 from lexigauge.llm.common import read
 from lexigauge.llm.oracles import ORACLES  # noqa: F401
 
@@ -39,6 +39,12 @@ def op4_language_id(spark, sf_dir):
     return language.identify(docs, language.train(docs))
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 @query
 def op6_quality_classifier(spark, sf_dir):
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -49,6 +55,16 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_html_extraction(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"), html_text.train())
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.read_vocabulary())
+
+
 @query
 def op10_source_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
