@@ -124,14 +124,16 @@ class LanguageModel:
         for k, table in enumerate(self.automata):
             flat, starts = table.ravel(), table[0]
             state = np.zeros(len(first), np.int32)
-            count = np.ones(len(first), np.int32)
+            count = np.zeros(len(first), np.int32)
             for c in columns:
                 n = len(c)
                 if not n:
                     break
+                # a phrase begins at the start, after a symbol of no phrase, and where none goes on
                 ahead = flat[state[:n] * ALPHABET + c]
                 broken = np.flatnonzero(ahead == 0)
-                count[broken] += 1
+                count[:n] += state[:n] == 0
+                count[broken] += state[broken] != 0
                 ahead[broken] = starts[c[broken]]
                 state[:n] = ahead
             phrases[k] = np.bincount(block_owner, weights=count, minlength=len(sizes)).astype(np.int64)

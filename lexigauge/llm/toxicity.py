@@ -92,10 +92,6 @@ class Network:
         self.p["out"] = draw.normal(0, 0.3, 2 * h)
         self.p["c"] = np.zeros(1)
 
-    def cast(self, kind) -> Network:
-        self.p = {k: v.astype(kind) for k, v in self.p.items()}
-        return self
-
     def load(self, other: Network, kind) -> Network:
         self.p = {k: v.astype(kind) for k, v in other.p.items()}
         return self
@@ -261,14 +257,22 @@ def fit(texts: list[bytes], y: np.ndarray) -> ToxicityModel:
     """Network of labelled texts. A toxic text's windows count as toxic where its most telling words
     are, and as neither elsewhere; all windows of a clean text are clean."""
     y = np.asarray(y, float)
-    model = ToxicityModel(bucket_odds(texts, y), Network(), 1.0, 0.0)
     if not len(texts) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
-        return ToxicityModel(model.odds, model.network.cast(np.float32), 0.0, float(np.log(rate / (1 - rate))))
+        return ToxicityModel(np.zeros(BUCKETS), Network().load(Network(), np.float32), 0.0, float(np.log(rate / (1 - rate))))
+    # each half is learned from with the odds of the other, as unseen texts are read
+    half = [np.arange(len(texts)) % 2 == k for k in (0, 1)]
+    odds = [bucket_odds([t for t, h in zip(texts, half[1 - k], strict=True) if h], y[half[1 - k]]) for k in (0, 1)]
+    net = Network()
     words = [letter_words(t) for t in texts]
-    every = sorted({w for x in words for w in x})
-    number, table = {w: k for k, w in enumerate(every)}, model.inputs(every)
-    inputs = [table[[number[w] for w in ws]] if ws else np.zeros((0, INPUTS)) for ws in words]
+    inputs: list[np.ndarray] = [np.zeros((0, INPUTS))] * len(texts)
+    for k in (0, 1):
+        own = np.flatnonzero(half[k]).tolist()
+        every = sorted({w for i in own for w in words[i]})
+        number, table = {w: n for n, w in enumerate(every)}, ToxicityModel(odds[k], net, 1.0, 0.0).inputs(every)
+        for i in own:
+            if words[i]:
+                inputs[i] = table[[number[w] for w in words[i]]]
     draw = np.random.default_rng(SEED)
     toxic, clean = [], []
     for x, label in zip(inputs, y, strict=True):
@@ -281,18 +285,21 @@ def fit(texts: list[bytes], y: np.ndarray) -> ToxicityModel:
         else:  # the least obvious ones and some others
             chosen = np.unique([telling.argmax(), *draw.integers(0, len(starts), 5)])
         (toxic if label else clean).extend(x[starts[k] : starts[k] + WINDOW] for k in chosen)
-    net = model.network
     descend(net, toxic, clean, [], draw)
     # the clean windows that it takes for toxic are shown to it again
-    unmarked = np.flatnonzero(y == 0)
-    shown = ToxicityModel(model.odds, Network().load(net, np.float32), 1.0, 0.0)
-    owner, start, logit = shown.windows([texts[k] for k in unmarked], WordTable())
-    hard = [inputs[unmarked[o]][s : s + WINDOW] for o, s in zip(owner[logit > -3], start[logit > -3], strict=True)]
+    hard = []
+    for k in (0, 1):
+        unmarked = np.flatnonzero((y == 0) & half[k])
+        shown = ToxicityModel(odds[k], Network().load(net, np.float32), 1.0, 0.0)
+        owner, start, logit = shown.windows([texts[i] for i in unmarked], WordTable())
+        hard += [inputs[unmarked[o]][s : s + WINDOW] for o, s in zip(owner[logit > -3], start[logit > -3], strict=True)]
     descend(net, toxic, clean, hard, draw)
-    net.cast(np.float32)
-    best = np.clip(model.highest(texts, WordTable()), -12, 12)
-    model.slope, model.shift = logistic(best, y)
-    return model
+    net.load(net, np.float32)
+    best = np.zeros(len(texts))
+    for k in (0, 1):
+        best[half[k]] = ToxicityModel(odds[k], net, 1.0, 0.0).highest([t for t, h in zip(texts, half[k], strict=True) if h], WordTable())
+    slope, shift = logistic(np.clip(best, -12, 12), y)
+    return ToxicityModel(bucket_odds(texts, y), net, slope, shift)
 
 
 def descend(net: Network, toxic: list, clean: list, hard: list, draw) -> None:
