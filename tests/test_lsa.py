@@ -98,3 +98,25 @@ def test_reconstructed_cells(fitted, source, dense):
     got = lsa.reconstruct(cells, svd.term_factors(), svd.doc_factors()).collect()
     assert len(got) == int((dense > 0).sum())
     assert max(abs(r["weight"] - low[terms[r["term"]], r["doc_id"]]) for r in got) < 1e-5
+
+
+@pytest.mark.parametrize("panel_bytes", [8 * 60 * 3, 8])
+def test_no_component_is_lost_for_lack_of_room(source, dense, panel_bytes):
+    """Room for three columns, and for none: both methods still give all that is asked."""
+    want = _low_rank(dense, 7)[1]
+    assert lsa.randomized_svd(source, 7, panel_bytes=panel_bytes).sigma == pytest.approx(want, rel=1e-3)
+    found = lsa.truncated_svd(source, 7, panel_bytes=panel_bytes)
+    assert found.sigma == pytest.approx(want, rel=1e-9) and found.residual <= 1e-7
+
+
+def test_restart_and_unsettled(source, dense):
+    """A block of one column grows past the widest basis and starts again; too few passes are an error."""
+    found = lsa.decompose(source, 6, block=1)
+    assert found.sigma == pytest.approx(_low_rank(dense, 6)[1], rel=1e-7)
+    with pytest.raises(RuntimeError, match="residual"):
+        lsa.decompose(source, 6, block=1, max_passes=3)
+
+
+def test_full_rank(source, dense):
+    sigma = np.linalg.svd(dense, compute_uv=False)
+    assert lsa.truncated_svd(source, 1000).sigma == pytest.approx(sigma[sigma > 1e-6 * sigma[0]], rel=1e-6)
