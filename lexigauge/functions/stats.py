@@ -31,12 +31,13 @@ def cosine_from(ab: Column, aa: Column, bb: Column) -> Column:
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0 from the all-positive series of erf."""
+    """Complementary error function for x >= 0: the all-positive series of erf below 2, and the
+    continued fraction of the tail above, which keeps its digits however small the value."""
 
-    def series(v: Column) -> Column:
+    def both(v: Column) -> Column:
         init = F.struct(v.alias("term"), v.alias("acc"))
         total = F.aggregate(
-            F.sequence(F.lit(1), F.lit(140)),
+            F.sequence(F.lit(1), F.lit(40)),
             init,
             lambda s, i: let(
                 s["term"] * v * v * F.lit(2.0) / (i * 2 + 1),
@@ -44,10 +45,13 @@ def erfc(x: Column) -> Column:
             ),
             lambda s: s["acc"],
         )
-        erf = F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-v * v) * total
-        return F.when(v > 6.0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - erf))
+        bell = F.exp(-v * v)
+        near = F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * bell * total
+        # v + (1/2) / (v + (2/2) / (v + (3/2) / ...)), from the inside
+        below = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), v, lambda s, i: v + (i / 2.0) / s)
+        return F.when(v < 2.0, near).otherwise(bell / (F.lit(math.sqrt(math.pi)) * below))
 
-    return let(x.cast("double"), series)
+    return let(x.cast("double"), both)
 
 
 # Above this many degrees of freedom the finite series gives way to the normal form,

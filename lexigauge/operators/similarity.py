@@ -17,7 +17,6 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexigauge.functions import stats
 from lexigauge.functions import text as tx
@@ -179,7 +178,8 @@ def _sums_by_join(
 def _sums_by_broadcast(
     pairs: DataFrame, tokens: DataFrame, rows: DataFrame, weights: tuple[str, ...]
 ) -> DataFrame:
-    """Bounded questionnaire: one pass over the document rows, one line per task and pair."""
+    """Bounded questionnaire: one pass over the document rows. A task returns a line for each pair whose
+    texts meet in its documents, and one for each text that they touch; tasks are as many as can run."""
     spark = rows.sparkSession
     key = pairs.columns
     table = pairs.toArrow()
@@ -203,34 +203,51 @@ def _sums_by_broadcast(
         "length": np.bincount(term_of, minlength=len(term_ids)),
     }
     shared = spark.sparkContext.broadcast(plan)
-    out = T.StructType(
-        [*pairs.schema.fields, T.StructField("model", T.StringType())]
-        + [T.StructField(c, T.DoubleType()) for c in SUMS]
-    )
     terms = F.col("entries.term").alias("terms")
     values = [F.col(f"entries.{w}").cast("array<double>").alias(w) for w in weights]
-    lines = rows.select(terms, *values).mapInArrow(_line_maker(shared, weights), out)
-    return lines.groupBy(*key, "model").agg(*[F.sum(c).alias(c) for c in SUMS])
+    few = rows.select(terms, *values).coalesce(spark.sparkContext.defaultParallelism)
+    lines = few.mapInArrow(_line_maker(shared, weights), "model string, of_pair boolean, idx bigint, x double, y double")
+    lines = durable(lines.groupBy("model", "of_pair", "idx").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "sums")
+    number = pa.array(np.arange(table.num_rows))
+    placed = table.append_column("_p", number).append_column("_a", pa.array(plan["a"])).append_column("_b", pa.array(plan["b"]))
+    named = spark.createDataFrame(placed).select(
+        "*", F.explode(F.array(*[F.lit(w) for w in weights])).alias("model")
+    )
+
+    def part(of_pair: bool, at: str, x: str, y: str) -> DataFrame:
+        return lines.filter(F.col("of_pair") == of_pair).select(
+            "model", F.col("idx").alias(at), F.col("x").alias(x), F.col("y").alias(y)
+        )
+
+    joined = (
+        named.join(part(True, "_p", "ab", "_"), ["model", "_p"], "left")
+        .join(part(False, "_a", "aa", "sa"), ["model", "_a"], "left")
+        .join(part(False, "_b", "bb", "sb"), ["model", "_b"], "left")
+    )
+    return joined.select(*key, "model", *SUMS)
 
 
 def _line_maker(shared, weights: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
-        totals = {w: np.zeros((5, len(plan["a"]))) for w in weights}
+        met = {w: np.zeros((1, len(plan["a"]))) for w in weights}
+        touched = {w: np.zeros((2, plan["n_texts"])) for w in weights}
         for batch in batches:
-            _add_batch(plan, batch, weights, totals)
+            _add_batch(plan, batch, weights, met, touched)
         for w in weights:
-            table = plan["pairs"]
-            lines = table.append_column("model", pa.array([w] * table.num_rows, pa.string()))
-            for name, values in zip(SUMS, totals[w]):
-                lines = lines.append_column(name, pa.array(values))
-            yield from lines.combine_chunks().to_batches()
+            for of_pair, sums in ((True, met[w]), (False, touched[w])):
+                idx = np.flatnonzero(sums.any(axis=0))
+                yield pa.record_batch(
+                    [pa.array([w] * len(idx), pa.string()), pa.array([of_pair] * len(idx), pa.bool_()), pa.array(idx),
+                     pa.array(sums[0, idx]), pa.array(sums[-1, idx])],
+                    names=["model", "of_pair", "idx", "x", "y"])
 
     return run
 
 
-def _add_batch(plan: dict, batch: pa.RecordBatch, weights: tuple[str, ...], totals: dict) -> None:
-    """Add the documents of one Arrow batch to the sums of every pair."""
+def _add_batch(plan: dict, batch: pa.RecordBatch, weights: tuple[str, ...], met: dict, touched: dict) -> None:
+    """Add the documents of one Arrow batch to the products of every pair and to the squares and sums
+    of every text, texts being the rows of what is multiplied."""
     lists = batch.column("terms")
     found = pc.index_in(lists.flatten(), plan["terms"])
     hit = np.asarray(pc.is_valid(found))
@@ -250,14 +267,12 @@ def _add_batch(plan: dict, batch: pa.RecordBatch, weights: tuple[str, ...], tota
         count = length[term[i:j]]
         # all (cell, text) meetings of this step, the texts of one term lying side by side
         at = np.repeat(first[term[i:j]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        slot = np.repeat(doc[i:j] - lo, count) * n_texts + plan["text"][at]
+        slot = plan["text"][at] * (hi - lo) + np.repeat(doc[i:j] - lo, count)
         for w in weights:
             meet = np.repeat(values[w][i:j], count) * plan["n"][at]
-            v = np.bincount(slot, meet, (hi - lo) * n_texts).reshape(hi - lo, n_texts)
-            square, total = np.einsum("ij,ij->j", v, v), v.sum(axis=0)
-            totals[w] += [
-                np.einsum("ij,ij->j", v[:, a], v[:, b]), square[a], square[b], total[a], total[b]
-            ]
+            v = np.bincount(slot, meet, (hi - lo) * n_texts).reshape(n_texts, hi - lo)
+            met[w][0] += np.einsum("ij,ij->i", v[a], v[b])
+            touched[w] += [np.einsum("ij,ij->i", v, v), v.sum(axis=1)]
         lo = hi
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from functools import cache
 
@@ -17,26 +17,36 @@ MAX_HOT_KEYS = 10_000
 WINDOW_GROUP_LIMIT = 1_000_000
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="lexigauge-")
+# The tables of one run of the library lie in one folder, which goes when the run ends.
+_RUN = uuid.uuid4().hex
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only when Spark runs on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    """The folder named by ``spark.checkpoint.dir``; where that is unset the session's warehouse, which
+    all executors share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/lexigauge-{_RUN}"
+
+
+@cache
+def _clear_at_exit() -> None:
+    atexit.register(clear)
+
+
+def clear() -> None:
+    """Remove every table that this run has written to the shared folder."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it
     nor depend on the executors that made it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexigauge/{name}-{uuid.uuid4().hex}"
+    _clear_at_exit()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -353,6 +353,7 @@ def dense_cosine(spark, sf):
 # ---------------------------------------------------------------- reduced models
 
 LSA_K = 20
+TRUNCATE = 1000
 
 
 def _term_rows(spark, sf, score="tfidf"):
@@ -386,14 +387,52 @@ def lsa_entries(spark, sf):
     return out.select("term", "doc_id", round6(F.col("weight")).alias("weight"))
 
 
+def _full_rank(spark, sf, method):
+    """All components of the short texts' count matrix: the reduced model is then the matrix itself."""
+    corpus = _short_texts(spark, sf).withColumnRenamed("text_id", "doc_id")
+    fitted = mx.fit_matrix(corpus)
+    source = lsa.term_rows(fitted, "count", MIN_DF)
+    return fitted, method(source, fitted.facts.n_docs)
+
+
+@query
+def lsa_full_rank_entries(spark, sf):
+    """Every cell of the short texts' matrix from its truncated decomposition, nothing truncated."""
+    fitted, svd = _full_rank(spark, sf, lsa.truncated_svd)
+    cells = mx.pruned_counts(fitted.bags, fitted.vocab(MIN_DF), fitted.facts)
+    out = lsa.reconstruct(cells, durable(svd.term_factors()), durable(svd.doc_factors()))
+    return out.select("term", "doc_id", F.round(F.col("weight"), 4).alias("weight"))
+
+
+@query
+def lsa_full_rank_similarities(spark, sf):
+    """The dialogues under the randomised decomposition of all the short texts: unknown words included,
+    the cosines of the matrix model."""
+    _, svd = _full_rank(spark, sf, lsa.randomized_svd)
+    texts, pairs, _ = _dialogue(spark, sf)
+    out = sw.lsa_similarities(lsa.lsa_model(svd), durable(sim.text_bags(texts)), pairs)
+    return out.select("lp_id", "sp_id", F.round(F.col("similarity"), 5).alias("similarity"))
+
+
+@query
+def lsa_energy(spark, sf):
+    """Sums of the second and fourth powers of all singular values of the short texts' matrix."""
+    _, svd = _full_rank(spark, sf, lsa.truncated_svd)
+    squares = [float(s) ** 2 for s in svd.sigma]
+    rows = [(sum(squares), sum(q * q for q in squares))]
+    df = spark.createDataFrame(rows, "squares double, fourth double")
+    return df.select(F.round("squares", 4).alias("squares"), F.round("fourth", 4).alias("fourth"))
+
+
 @query
 def lsa_truncate(spark, sf):
     """Kept columns of a truncated model: how much of each document the k components hold."""
-    source = _term_rows(spark, sf)
-    svd = lsa.truncated_svd(source, LSA_K)
-    docs = svd.doc_factors(lsa.first_documents(source.rows, 100))
+    corpus = _corpus(spark, sf)
+    svd = lsa.truncated_svd(lsa.term_rows(mx.fit_matrix(corpus), "tfidf", MIN_DF), LSA_K)
+    kept = lsa.first_documents(corpus, TRUNCATE)
     share = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    return docs.select("doc_id", round6(share).alias("share"))
+    found = kept.join(svd.doc_factors(kept), "doc_id", "left")
+    return found.select("doc_id", F.coalesce(round6(share), F.lit(0.0)).alias("share"))
 
 
 @query
@@ -443,8 +482,9 @@ def human_rank(spark, sf):
 
 @query
 def chart_worker_points(spark, sf):
+    accepted = _event_answers(spark, sf).filter(~F.col("sp_id").startswith("error"))
     out = ev.worker_points(
-        _event_answers(spark, sf), ["lp_id"], "sp_id", F.col("event_id"), "score"
+        accepted, ["lp_id"], "sp_id", F.col("event_id"), "score"
     )
     return out.select("lp_id", "sp_id", "worker", "score")
 

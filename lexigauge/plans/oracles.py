@@ -15,8 +15,8 @@ TOKENS = rf"regexp_extract_all({NORM}, '[\p{{L}}\p{{N}}_]+|@[\p{{L}}\p{{N}}_]+@'
 # Token rows of the corpus and their counts; *_s without stop words.
 CORPUS = f"""
 tok AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
-cnt AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY 1, 2),
-dfs AS (SELECT term, count(*) AS df FROM cnt GROUP BY 1),
+cnt AS MATERIALIZED (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY 1, 2),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM cnt GROUP BY 1),
 docs AS (SELECT count(*) AS n_docs FROM documents)"""
 
 
@@ -223,7 +223,18 @@ mp AS (
   SELECT l.conv_id, l.turn, e.conv_id || '/' || e.turn AS a, l.conv_id || '/' || l.turn AS b
   FROM conversations l JOIN conversations e ON e.conv_id = l.conv_id AND e.turn = l.turn - 1)"""
     rec_lines = f"WITH RECURSIVE {INVERSIONS}, {LINES}, {_pairs('lines', 'lp_id')}"
+    # the short texts in the place of the corpus
+    short_corpus = "documents AS (SELECT item_id AS doc_id, text FROM benchmark)"
     sql = {
+        "lsa_full_rank_entries": f"""
+WITH {short_corpus}, {CORPUS}
+SELECT term, doc_id, round(n * 1.0::DOUBLE, 4) AS weight FROM cnt JOIN dfs USING (term) WHERE df >= 2""",
+        "lsa_full_rank_similarities": f"""
+WITH {short_corpus}, {DIALOGUE_COUNT} SELECT lp_id, sp_id, round(similarity, 5) + 0.0 AS similarity FROM cs""",
+        "lsa_energy": f"""
+WITH {short_corpus}, {CORPUS}, k AS (SELECT doc_id, term, n FROM cnt JOIN dfs USING (term) WHERE df >= 2),
+pp AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.n * b.n)::DOUBLE AS g FROM k a JOIN k b USING (term) GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN i = j THEN g ELSE 0 END), 4) AS squares, round(sum(g * g), 4) AS fourth FROM pp""",
         "corpus_scan": "SELECT doc_id, 'doc' || doc_id AS title, text FROM documents",
         "tag_text": r"""
 SELECT page_id, unnest(range(len(x))) AS position, unnest(x) AS text FROM (
@@ -275,10 +286,11 @@ WITH {CORPUS} SELECT count(*) FILTER (df >= 2) AS wordcount, any_value(n_docs) A
   any_value(n_docs) AS n_columns, count(*) FILTER (df < 2) AS ignored_count,
   count(*) FILTER (df >= 2) || 'x' || any_value(n_docs) AS size_label FROM dfs, docs""",
         "word_vectors": f"""
-WITH {short}
-SELECT text_id, term, n, true AS known, doc_id, {r6('weight')} AS weight
-FROM bt JOIN {known} USING (term) JOIN m_tfidf USING (term)
-UNION ALL SELECT text_id, term, n, false, NULL, 1e-5 FROM bt WHERE term NOT IN {known}""",
+WITH {short}, words AS MATERIALIZED (SELECT term FROM dfs WHERE df >= 2),
+marked AS MATERIALIZED (SELECT bt.*, words.term IS NOT NULL AS known FROM bt LEFT JOIN words USING (term)),
+cells AS MATERIALIZED (SELECT * FROM m_tfidf SEMI JOIN marked USING (term))
+SELECT text_id, term, n, known, doc_id, {r6('weight')} AS weight FROM marked JOIN cells USING (term) WHERE known
+UNION ALL SELECT text_id, term, n, false, NULL, 1e-5 FROM marked WHERE NOT known""",
         "oov_tokens": f"WITH {short} SELECT text_id, term, n FROM bt WHERE term NOT IN {known}",
         "text_vectors": f"""
 WITH {short}, size AS (
@@ -316,7 +328,7 @@ SELECT lp_id, sp_id, {r6('mean_score')} AS mean_score,
         "chart_worker_points": """
 SELECT * FROM (SELECT user_id AS lp_id, event_type AS sp_id,
   row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS worker, value AS score
-  FROM events) WHERE worker <= 10""",
+  FROM events WHERE NOT starts_with(event_type, 'error')) WHERE worker <= 10""",
         "human_machine_join": f"WITH {SIX}, {HUMAN} SELECT model, lp_id, sp_id, human, machine FROM joined",
         "chart_points": f"""
 WITH {SIX}, {HUMAN} SELECT model, lp_id, sp_id, human, machine, round(similarity, 6) AS similarity,

@@ -72,6 +72,16 @@ def test_sheet(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "tasks").glob("LP=*")) == ["LP=LP1", "LP=LP2"]
 
 
+def test_answer_files_in_different_column_orders(spark, tmp_path):
+    first = ["AssignmentStatus", "Input.LP", *study.ANSWERS]
+    for name, columns in (("a.csv", first), ("b.csv", [*reversed(first), "More"])):
+        values = {"AssignmentStatus": "Approved", "Input.LP": name, "More": "x", **{c: str(i) for i, c in enumerate(study.ANSWERS, 1)}}
+        (tmp_path / name).write_text(",".join(columns) + "\n" + ",".join(values[c] for c in columns) + "\n")
+    rows = study.read_worker_answers(spark, str(tmp_path)).collect()
+    got = sorted((r.lp_id, r.status, r.sp_id, r.score) for r in rows)
+    assert got == sorted((f, "Approved", f"SP{i}", i) for f in ("a.csv", "b.csv") for i in range(1, 7))
+
+
 # The answers of one question of a published study, two of its models, and what
 # it reports for them. Two candidates tie in their means.
 ACCEPTED = """

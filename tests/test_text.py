@@ -68,3 +68,15 @@ def test_config_rules():
     assert (c.truncation_for(100), c.truncation_for(101)) == (None, 1000)
     with pytest.raises(ValueError):
         ModelConfig(score="bm25")
+
+
+def test_tail_of_the_error_function(spark):
+    import math
+
+    from lexigauge.functions.stats import erfc
+
+    xs = [0.0, 0.3, 1.0, 1.9, 1.999, 2.0, 2.5, 4.0, 6.5, 12.0, 20.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", erfc(F.col("x")).alias("y")).collect():
+        assert abs(r.y - math.erfc(r.x)) < 1e-12 + 1e-9 * math.erfc(r.x)
+        assert r.x < 2 or abs(r.y / math.erfc(r.x) - 1) < 1e-9
