@@ -1,7 +1,7 @@
 """Documents linked by the Jaccard similarity of their word n-grams, by a prefix-tree join.
 
 An n-gram is a 64-bit number; all sets stand in one global order in which frequent n-grams come last.
-Two similar sets share one of their first n-grams, so only documents that share such a one with
+Two similar sets share several of their first n-grams, so only documents that share so many with
 another of a fitting size go on, and they go in groups that no fitting pair leaves. Within a group the
 sets are stored in a prefix tree; a set walks down it, carrying the overlap of the path so far, and
 leaves a branch when the n-grams that remain on both sides cannot make the similarity.
@@ -30,13 +30,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS = 5
 PERCENT = 75
 # n-grams that the order puts last, at most; any list gives the same links, a good one less work.
-HOT_LIMIT = 1 << 19
-# Text in which an n-gram of several documents is noticed.
-COUNT_BYTES = 24 << 20
+HOT_LIMIT = 1 << 20
+# Stretch of n-grams in which one of several documents is noticed.
+COUNT_GRAMS = 4 << 20
 # n-grams of one bucket, and of one block of a group.
-BUCKET_GRAMS = 1 << 20
+BUCKET_GRAMS = 1 << 22
 BLOCK_GRAMS = 1 << 21
-
+# Pairs of documents are counted under an n-gram that no more than so many share; more are chained.
+FEW = 8
+# Buckets of a first look at which documents take part in any group.
+SIEVE = 1 << 20
+
+# What a batch of documents sends to a bucket: n-grams, how many are each document's, and whether
+# they are early in it; those documents and the sizes of their sets.
+SENT = ("bucket", "grams", "times", "early", "ids", "n")
 _TOP = np.uint64(1 << 63)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,27 +108,46 @@ def least_overlap(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - (PERCENT * n + 99) // 100 + 1
+def shared_firsts(n):
+    """A similar pair shares, among the first n-grams of both, at least the smaller of its two numbers."""
+    return 1 + n // 20
+
+
+def prefix_length(n):
+    """First n-grams of a set that hold ``shared_firsts`` ones of every similar set: what the overlap
+    cannot do without, and so many more."""
+    return n - (PERCENT * n + 99) // 100 + shared_firsts(n)
+
+
+def prefix_sql(n):
+    """``prefix_length`` of a column."""
+    return n - F.ceil(n * PERCENT / 100) + 1 + F.floor(n / 20)
 
 
 def frequent_grams(docs: DataFrame, limit: int = HOT_LIMIT, n: int = WORDS) -> np.ndarray:
-    """n-grams that several different texts of a stretch of COUNT_BYTES share, the most frequent ones, at
+    """n-grams that several different texts of a stretch of COUNT_GRAMS share, the most frequent ones, at
     most ``limit``: what reaches the driver is bounded by that."""
 
+    def often(grams: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(grams))
+        edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        times = np.diff(np.append(edge, len(every)))
+        return pa.RecordBatch.from_arrays([pa.array(every[edge[times > 1]].astype(np.int64)), pa.array(times[times > 1])], names=["g", "n"])
+
     def count(batches):
-        for piece in pieces(batches, limit=COUNT_BYTES):
-            seen, grams = set(), []
+        seen, grams, size = set(), [np.zeros(0, np.uint64)], 0
+        for piece in pieces(batches):
             for g in gram_sets(texts_of(piece), n):
                 key = (len(g), g[:4].tobytes(), g[-4:].tobytes())
-                if key not in seen:
+                if key not in seen:  # copies within the stretch count once
                     seen.add(key)
                     grams.append(g)
-            every = np.sort(np.concatenate([*grams, np.zeros(0, np.uint64)]))
-            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            times = np.diff(np.append(edge, len(every)))
-            often = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(every[edge[often]].astype(np.int64)), pa.array(times[often])], names=["g", "n"])
+                    size += len(g)
+            if size >= COUNT_GRAMS:
+                yield often(grams)
+                seen, grams, size = set(), [np.zeros(0, np.uint64)], 0
+        if size:
+            yield often(grams)
 
     found = docs.select("text").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
     found = durable(found.withColumn("step", F.floor(F.log2("n") * 4).cast("int")), "frequent")
@@ -153,8 +179,13 @@ def signatures(docs: DataFrame, order: Shared, n: int = WORDS) -> DataFrame:
 
 
 def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
-    """``(a, b)``: chains through the documents that share a prefix n-gram and fit in size, so that every
-    pair that may be similar lies in one component of them; never all pairs of an n-gram."""
+    """``(a, b)`` such that every pair that may be similar lies in one component of them.
+
+    A similar pair shares at least ``shared_firsts`` prefix n-grams. Under an n-gram of at most FEW
+    documents its pairs are counted; those that come to that number are links. The documents of a more
+    frequent n-gram are chained in the order of their sizes, so a pair that shares such a one is in one
+    component without being listed. Never all pairs of an n-gram.
+    """
 
     def deal(batches):
         for batch in batches:
@@ -167,53 +198,64 @@ def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
             # may be the smaller set of a pair: early enough in its order
             n = np.asarray(batch.column("n"))[row]
             place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            early = place <= n - (-(-2 * PERCENT * n // (100 + PERCENT)))
+            early = place < n - (-(-2 * PERCENT * n // (100 + PERCENT))) + shared_firsts(n)
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[at])) + 1
-            rows = {k: [] for k in ("bucket", "grams", "row", "early", "ids", "n")}
+            rows = {k: [] for k in SENT}
             ids, sizes = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n"))
             for part in np.split(at, edges) if len(at) else []:
-                own, local = np.unique(row[part], return_inverse=True)
+                own, times = np.unique(row[part], return_counts=True)  # the part is in the order of the rows
                 rows["bucket"].append(int(bucket[part[0]]))
                 rows["grams"].append(grams[part].tobytes())
-                rows["row"].append(local.astype(np.int32).tobytes())
+                rows["times"].append(times.astype(np.int32).tobytes())
                 rows["early"].append(np.packbits(early[part]).tobytes())
                 rows["ids"].append(ids[own].tobytes())
-                rows["n"].append(sizes[own].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["bucket"], pa.int64()), *[pa.array(rows[k], pa.binary()) for k in ("grams", "row", "early", "ids", "n")]],
-                names=["bucket", "grams", "row", "early", "ids", "n"])
+                rows["n"].append(sizes[own].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k], pa.int64() if k == "bucket" else pa.binary()) for k in SENT], names=list(SENT))
 
     def chain(parts: list[tuple]) -> pa.RecordBatch:
         grams = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
-        ids, n, early = [], [], []
-        for g, row, bits, own, sizes in parts:
-            local = np.frombuffer(row, np.int32)
-            ids.append(np.frombuffer(own, np.int64)[local])
-            n.append(np.frombuffer(sizes, np.int64)[local])
-            early.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(g) // 8).astype(bool))
-        ids, n, early = np.concatenate(ids), np.concatenate(n), np.concatenate(early)
+        early = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(p[0]) // 8) for p in parts]).astype(bool)
+        times = np.concatenate([np.frombuffer(p[1], np.int32) for p in parts])
+        row = np.repeat(np.arange(len(times), dtype=np.int32), times)
+        ids = np.concatenate([np.frombuffer(p[3], np.int64) for p in parts])
+        n = np.concatenate([np.frombuffer(p[4], np.int32) for p in parts]).astype(np.int64)
         at = np.argsort(grams)
         g = grams[at]
         same = g[1:] == g[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        at = at[shared]
+        at = at[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        # only n-grams of several documents go on
+        grams, early, ids, n = grams[at], early[at], ids[row[at]], n[row[at]]
+        at = np.arange(len(at))
         at = at[np.lexsort((ids[at], ~early[at], n[at], grams[at]))]
         g, ids, n, early = grams[at], ids[at], n[at], early[at]
-        # link each document to the last one before it that may be the smaller of a pair
+        edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+        size = np.diff(np.append(edge, len(g)))
+        few = np.repeat(size <= FEW, size)
+        found = []
+        for step in range(1, FEW):
+            i = np.flatnonzero(few[:-step] & (g[step:] == g[:-step]))
+            i = i[(100 * n[i] >= PERCENT * n[i + step]) & (ids[i] != ids[i + step])]
+            found.append((ids[i], ids[i + step], np.ones(len(i), np.int64), shared_firsts(np.minimum(n[i], n[i + step]))))
+        # link each document of the others to the last one before it that may be the smaller of a pair
         last = np.maximum.accumulate(np.where(early, np.arange(len(g)), -1)) if len(g) else np.zeros(0, np.int64)
         before = np.concatenate(([-1], last[:-1])) if len(g) else last
-        ok = before >= 0
-        ok[ok] &= (g[before[ok]] == g[ok]) & (100 * n[before[ok]] >= PERCENT * n[ok]) & (ids[before[ok]] != ids[ok])
-        a, b = ids[before[ok]], ids[ok]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        i = np.flatnonzero((before >= 0) & ~few)
+        i = i[(g[before[i]] == g[i]) & (100 * n[before[i]] >= PERCENT * n[i]) & (ids[before[i]] != ids[i])]
+        found.append((ids[before[i]], ids[i], np.full(len(i), 1 << 32), np.ones(len(i), np.int64)))
+        a, b, c, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs, which = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        count = np.bincount(which, weights=c, minlength=len(pairs)).astype(np.int64)
+        least = np.full(len(pairs), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, need)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count), pa.array(least)], names=["a", "b", "c", "need"])
 
     def collect(batches):
         current, parts = None, []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("bucket", "grams", "row", "early", "ids", "n")]
+            columns = [batch.column(k).to_pylist() for k in SENT]
             for bucket, *rest in zip(*columns, strict=True):
                 if bucket != current and parts:
                     yield chain(parts)
@@ -223,8 +265,10 @@ def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield chain(parts)
 
-    dealt = sets.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket bigint, grams binary, row binary, early binary, ids binary, n binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(collect, "a bigint, b bigint").distinct()
+    dealt = sets.select("doc_id", "n", "prefix").mapInArrow(deal, ", ".join(f"{k} {'bigint' if k == 'bucket' else 'binary'}" for k in SENT))
+    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(collect, "a bigint, b bigint, c bigint, need bigint")
+    counted = counted.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
+    return counted.filter("c >= need").select("a", "b")
 
 
 class Node:
@@ -319,19 +363,24 @@ def tree_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def similar_links(docs: DataFrame, groups: DataFrame, order: Shared, n: int = WORDS) -> DataFrame:
-    """``(a, b)``: links within the groups ``(doc_id, grp, part)``, by a prefix tree each."""
+    """``(a, b)``: links within the groups ``grp`` of ``(doc_id, grp, bundle, part)``, by a prefix tree each;
+    a task works on the groups of one bundle and part."""
 
     def join(table: pa.Table) -> pa.Table:
-        rows = {}
-        for doc_id, text in zip(table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True):
-            rows.setdefault(doc_id, text)
-        ids = sorted(rows)
-        sets = [order.value.order(g) for g in gram_sets([rows[i] for i in ids], n)]
-        links = tree_links(ids, sets)
+        members: dict[int, dict[int, bytes]] = {}
+        for doc_id, text, grp in zip(table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), table["grp"].to_pylist(), strict=True):
+            members.setdefault(grp, {}).setdefault(doc_id, text)
+        links = []
+        for rows in members.values():
+            ids = sorted(rows)
+            links += tree_links(ids, [order.value.order(g) for g in gram_sets([rows[i] for i in ids], n)])
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    placed = docs.select("doc_id", "text").join(groups, "doc_id")
-    return placed.groupBy("grp", "part").applyInArrow(join, "a bigint, b bigint")
+    # at most SIEVE rows, whatever the groups; it keeps most other texts out of the shuffle
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    sieve = F.broadcast(groups.select(part.alias("part")).distinct())
+    near = docs.select("doc_id", "text", part.alias("part")).join(sieve, "part", "left_semi").drop("part")
+    return near.join(groups, "doc_id").groupBy("bundle", "part").applyInArrow(join, "a bigint, b bigint")
 
 
 def link_documents(docs: DataFrame, n: int = WORDS, hot_limit: int = HOT_LIMIT, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -348,19 +397,24 @@ def link_documents(docs: DataFrame, n: int = WORDS, hot_limit: int = HOT_LIMIT,
     sets = durable(signatures(docs, order, n), "sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     copies = ["n", "sig_a", "sig_b"]
-    firsts = durable(known.groupBy(*copies).agg(F.min(F.struct("doc_id", "prefix")).alias("first")).select(*copies, "first.*"), "firsts")
-    grams = int(firsts.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
-    candidates = components(candidate_links(firsts, max(1, grams // BUCKET_GRAMS)))
+    firsts = durable(known.groupBy(*copies).agg(F.min("doc_id").alias("doc_id")), "firsts")
+    once = known.join(firsts.select("doc_id"), "doc_id", "left_semi")
+    grams = int(firsts.agg(F.sum(prefix_sql(F.col("n")))).first()[0] or 0)
+    candidates = components(candidate_links(once, max(1, grams // BUCKET_GRAMS)))
     # groups too large for one task are cut into blocks; every pair of blocks meets in a task
     member = candidates.join(firsts.select(F.col("doc_id").alias("node"), "n"), "node")
     weight = member.groupBy("component").agg(F.sum("n").alias("w"))
-    blocks = F.ceil(F.col("w") / F.lit(block_grams)).cast("int")
-    placed = member.join(weight.withColumn("k", blocks), "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    weight = weight.withColumn("k", F.ceil(F.col("w") / F.lit(block_grams)).cast("int"))
+    small = int(weight.filter("k = 1").agg(F.sum("w")).first()[0] or 0)
+    bundles = max(1, 2 * small // block_grams)
+    placed = member.join(weight, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     others = F.sequence(F.lit(0), F.col("k") - 1)
     meets = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(others, lambda o: o != F.col("own")))
+    alone = F.col("k") == 1
     groups = placed.withColumn("other", F.explode(meets)).select(
         F.col("node").alias("doc_id"), F.col("component").alias("grp"),
-        (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("part"),
+        F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.col("component")).alias("bundle"),
+        F.when(alone, F.lit(-1)).otherwise(F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("part"),
     )
     groups = durable(groups.distinct(), "groups")
     links = similar_links(docs, groups, order, n)
