@@ -42,7 +42,7 @@ def text_bags(
 ) -> DataFrame:
     """``(text_id, term, n)``: the token multiset of each text, one empty word for an empty one."""
     found = tx.guarded(tx.tokens(F.col("text"), stop_words, preprocess, pattern))
-    return tx.unnest(spread(texts), ["text_id"], F.inline_outer(tx.bag(found)))
+    return tx.unnest(texts, ["text_id"], F.inline_outer(tx.bag(found)))
 
 
 def mark_known(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def durable(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a part of a scan that has fewer splits than there are cores, ahead of
-    costly work per row. Large tables have more splits than that and stay as they are."""
+    costly work per row. Large tables have more splits than that and stay as they are. For scans only:
+    to count the parts of a plan that shuffles would run the shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

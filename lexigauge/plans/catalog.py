@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,15 @@ from lexigauge.operators import lsa
 from lexigauge.operators import matrix as mx
 from lexigauge.operators import ranking as rk
 from lexigauge.operators import similarity as sim
-from lexigauge.operators.tables import durable, largest_group, spread
+from lexigauge.operators.tables import durable, largest_group, shared_folder, spread
 from lexigauge.plans import apply as ap
+from lexigauge.plans import store as st
 from lexigauge.plans import sweep as sw
 from lexigauge.plans.oracles import oracles  # noqa: F401
 from lexigauge.sources import corpus as cp
+from lexigauge.sources import model_store as ms
 from lexigauge.sources import questionnaire as qn
+from lexigauge.sources import study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,14 +47,14 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _short_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "benchmark").select(F.col("item_id").alias("text_id"), "text")
+    return spread(_read(spark, sf, "benchmark")).select(F.col("item_id").alias("text_id"), "text")
 
 
 def _dialogue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     """Texts, pairs and the most candidates of a lead: turn 0 against each later turn."""
     turns = _read(spark, sf, "conversations")
     text_id = F.concat_ws("/", "conv_id", "turn")
-    texts = turns.select(text_id.alias("text_id"), "text")
+    texts = spread(turns).select(text_id.alias("text_id"), "text")
     leads = turns.filter("turn = 0").select("conv_id", text_id.alias("a"))
     cands = turns.filter("turn > 0").select("conv_id", "turn", text_id.alias("b"))
     pairs = cands.join(leads, "conv_id").select(
@@ -339,6 +343,59 @@ def multi_model_rank(spark, sf):
     )
 
 
+@query
+def saved_models_rank(spark, sf):
+    """The six matrix models fitted, saved, found again in their folder, loaded and applied; the
+    ranking goes through result files."""
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    st.save_grid(_corpus(spark, sf), [c for c in sweep_configs() if not c.is_lsa], folder)
+    texts, pairs, most = _dialogue(spark, sf)
+    out = st.apply_saved(spark, st.saved_models(spark, folder), texts, pairs)
+    ranked = rk.rank_candidates(durable(out, "saved"), ["filename", "lp_id"], group_size=most)
+    named = texts.withColumnsRenamed({"text_id": "b", "text": "cand_text"})
+    leads = texts.withColumnsRenamed({"text_id": "a", "text": "lead_text"})
+    args = F.struct(
+        "action", F.lit(MIN_DF).alias("min_document_frequency"), "stopwords", "score", "svd_components",
+        F.lit(None).cast("int").alias("truncate_matrix"), F.lit(None).cast("string").alias("output"),
+    )
+    ranked = ranked.join(pairs, ["lp_id", "sp_id", "a", "b"]).join(named, "b").join(leads, "a")
+    files = ranked.select(
+        "filename", args.alias("args"), "lp_id", "lead_text", "sp_id", "cand_text",
+        F.col("rank").cast("int").alias("rank"), "similarity",
+    )
+    study.write_results(study.nest_results(files, "dialogues"), f"{folder}-results")
+    back = study.result_rows(study.read_results(spark, f"{folder}-results"))
+    return back.select(
+        "model", "lp_id", "sp_id", F.col("rank").cast("bigint").alias("rank"), round6(F.col("similarity")).alias("similarity")
+    )
+
+
+@query
+def questionnaire_files(spark, sf):
+    """The dialogues as questionnaire files and back."""
+    turns = _read(spark, sf, "conversations")
+    leads = turns.filter("turn = 0").select("conv_id", F.col("text").alias("answer"))
+    items = turns.filter("turn > 0").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")
+    )
+    nested = items.join(leads, "conv_id").select(
+        F.col("conv_id").cast("string").alias("lp_id"), "answer",
+        F.transform("t", lambda x: F.struct(F.concat(F.lit("SP"), x["turn"]).alias("id"), x["text"].alias("text"))).alias("possible_answers"),
+    )
+    path = f"{shared_folder(spark)}/questionnaire-{uuid.uuid4().hex}"
+    qn.write_questionnaire(nested.select(*spark.createDataFrame([], qn.SCHEMA).columns), path)
+    return qn.candidate_rows(spark.read.schema(qn.SCHEMA).json(path))
+
+
+@query
+def cells_csv(spark, sf):
+    """The count matrix of the short texts through its CSV form."""
+    corpus = _short_texts(spark, sf).withColumnRenamed("text_id", "doc_id")
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    ms.write_cells_csv(mx.fit_matrix(corpus).rows("count", MIN_DF), path)
+    return ms.read_cells_csv(spark, path).select("term", "doc_id", round6(F.col("weight")).alias("weight"))
+
+
 @query
 def dense_cosine(spark, sf):
     """Each stored vector against the next one: the cosine the reduced models use."""

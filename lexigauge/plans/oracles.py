@@ -226,6 +226,14 @@ mp AS (
     # the short texts in the place of the corpus
     short_corpus = "documents AS (SELECT item_id AS doc_id, text FROM benchmark)"
     sql = {
+        "saved_models_rank": f"""
+WITH {SIX} SELECT model, CAST(lp_id AS VARCHAR) AS lp_id, sp_id, rank, {r6('similarity')} AS similarity FROM ranked""",
+        "questionnaire_files": """
+SELECT CAST(c.conv_id AS VARCHAR) AS lp_id, 'SP' || c.turn AS sp_id, l.text AS lead_text, c.text AS cand_text
+FROM conversations c JOIN conversations l ON l.conv_id = c.conv_id AND l.turn = 0 WHERE c.turn > 0""",
+        "cells_csv": f"""
+WITH {short_corpus}, {CORPUS}
+SELECT term, doc_id, {r6('n * 1.0::DOUBLE')} AS weight FROM cnt JOIN dfs USING (term) WHERE df >= 2""",
         "lsa_full_rank_entries": f"""
 WITH {short_corpus}, {CORPUS}
 SELECT term, doc_id, round(n * 1.0::DOUBLE, 4) AS weight FROM cnt JOIN dfs USING (term) WHERE df >= 2""",

@@ -109,12 +109,13 @@ def test_no_component_is_lost_for_lack_of_room(source, dense, panel_bytes):
     assert found.sigma == pytest.approx(want, rel=1e-9) and found.residual <= 1e-7
 
 
-def test_restart_and_unsettled(source, dense):
-    """A block of one column grows past the widest basis and starts again; too few passes are an error."""
-    found = lsa.decompose(source, 6, block=1)
+def test_restart_and_unsettled(source, dense, monkeypatch):
+    """A block of two columns grows past the widest basis and starts again; too few passes are an error."""
+    monkeypatch.setattr(lsa, "BASIS_COLUMNS", 1)
+    found = lsa.decompose(source, 6, block=2)
     assert found.sigma == pytest.approx(_low_rank(dense, 6)[1], rel=1e-7)
     with pytest.raises(RuntimeError, match="residual"):
-        lsa.decompose(source, 6, block=1, max_passes=3)
+        lsa.decompose(source, 6, block=2, max_passes=3)
 
 
 def test_full_rank(source, dense):
