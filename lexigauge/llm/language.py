@@ -56,38 +56,33 @@ def lower_table() -> np.ndarray:
 def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
     """Transitions (state, symbol) -> state or 0, of all substrings of ``symbols``; the start is state 0
     and nothing leads back to it."""
-    size = 2 * len(symbols) + 2
-    go: list[dict[int, int]] = [{}]
+    go = np.zeros((2 * len(symbols) + 2, alphabet), np.int32)
     link, length, last = [-1], [0], 0
+
+    def state(size: int, to: int) -> int:
+        length.append(size)
+        link.append(to)
+        return len(length) - 1
+
     for c in symbols.tolist():
-        new = len(go)
-        go.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        new = state(length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in go[p]:
-            go[p][c] = new
+        while p >= 0 and not go[p, c]:
+            go[p, c] = new
             p = link[p]
         if p >= 0:
-            q = go[p][c]
+            q = int(go[p, c])
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin = len(go)
-                go.append(dict(go[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = twin
+                twin = state(length[p] + 1, link[q])
+                go[twin] = go[q]
+                while p >= 0 and go[p, c] == q:
+                    go[p, c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(go), alphabet), np.int32)
-    for state, arcs in enumerate(go):
-        for c, to in arcs.items():
-            table[state, c] = to
-    assert len(go) <= size
-    return table
+    return go[: len(length)].copy()
 
 
 @dataclass
