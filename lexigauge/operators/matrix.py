@@ -7,16 +7,28 @@ cell, ``(doc_id, term, .., n, weight)``. The first is made from a text without a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigauge.functions import text as tx
 from lexigauge.operators.tables import durable, number_rows, skew_join
 
+# The functions that run in tasks travel with them: workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# A vocabulary up to this size may travel to every task.
+VOCAB_BYTES = 64 << 20
+
 
 def document_bags(
     corpus: DataFrame,
@@ -91,11 +103,15 @@ def weighted_rows(
 ) -> DataFrame:
     """Document rows holding the terms of ``vocab``, each with its count and its weight.
 
-    ``carry`` names vocabulary columns (such as ``term_id``) to keep in the entries. One join on
-    the term, with hot terms spread, and one shuffle to bring each document together again; the
-    unit length of tf-idf is then a matter of the row.
+    ``carry`` names vocabulary columns (such as ``term_id``) to keep in the entries. A vocabulary of at
+    most VOCAB_BYTES goes to the documents and nothing is shuffled; beyond that one join on the term,
+    with hot terms spread, and one shuffle to bring each document together again. The unit length
+    of tf-idf is a matter of the row either way. Documents without a term of ``vocab`` have no row.
     """
     extra = list(carry)
+    width = F.octet_length("term") + F.lit(16 + 8 * len(extra))
+    if int(vocab.agg(F.sum(width)).first()[0] or 0) <= VOCAB_BYTES:
+        return _weighted_in_rows(bags, vocab, facts, score, extra)
     side = vocab.select("term", *extra, smooth_idf(F.col("df"), facts.n_docs).alias("_idf"), "df")
     cells = skew_join(term_counts(bags), side, ["term"], "df", facts.n_cells, ["doc_id"])
     raw = {
@@ -108,6 +124,42 @@ def weighted_rows(
     return unit_length(rows) if score == "tfidf" else rows
 
 
+def _weighted_in_rows(bags: DataFrame, vocab: DataFrame, facts: CorpusFacts, score: str, extra: list[str]) -> DataFrame:
+    spark = bags.sparkSession
+    table = vocab.select("term", *extra, smooth_idf(F.col("df"), facts.n_docs).alias("_idf")).toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast(table)
+    cell = bags.schema["bag"].dataType.elementType
+    entry = T.StructType([cell["term"], *[vocab.schema[c] for c in extra], cell["n"], T.StructField("weight", T.DoubleType())])
+    schema = T.StructType([bags.schema["doc_id"], T.StructField("entries", T.ArrayType(entry))])
+    return bags.select("doc_id", "bag").mapInArrow(_row_task(shared, extra, score), schema)
+
+
+def _row_task(shared, extra: list[str], score: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        terms = table["term"].combine_chunks()
+        for batch in batches:
+            bag = batch.column("bag")
+            cells = bag.flatten()
+            at = pc.index_in(cells.field("term"), terms)
+            known = np.asarray(pc.is_valid(at))
+            doc = np.repeat(np.arange(len(bag)), np.asarray(pc.fill_null(pc.list_value_length(bag), 0)))[known]
+            at, cells = at.drop_null(), cells.filter(pa.array(known))
+            n = np.asarray(cells.field("n")).astype(float)
+            weight = {"count": lambda: n, "zeroone": lambda: np.ones(len(n)), "tfidf": lambda: n * np.asarray(table["_idf"].take(at))}[score]()
+            if score == "tfidf":
+                weight = weight / np.sqrt(np.bincount(doc, weight * weight, len(bag)))[doc]
+            size = np.bincount(doc, minlength=len(bag))
+            columns = [cells.field("term"), *[table[c].take(at).combine_chunks() for c in extra], cells.field("n"), pa.array(weight)]
+            entries = pa.StructArray.from_arrays(columns, ["term", *extra, "n", "weight"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(size[size > 0]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").filter(pa.array(size > 0)), pa.ListArray.from_arrays(offsets, entries)],
+                names=["doc_id", "entries"])
+
+    return run
+
+
 def unit_length(rows: DataFrame) -> DataFrame:
     """Scale the entries of each document so that their squares add up to one."""
 

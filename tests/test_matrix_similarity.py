@@ -115,3 +115,18 @@ def test_hot_paths_have_no_cross_join(spark, tiny):
     for df in (fitted.rows("tfidf", 2), mx.term_counts(fitted.bags), mx.document_frequency(fitted.bags)):
         plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("score", ["count", "zeroone", "tfidf"])
+def test_weights_are_the_same_with_and_without_the_join(spark, tiny, monkeypatch, score):
+    more = tiny.unionAll(spark.createDataFrame([(9, ""), (10, "unique"), (11, None)], "doc_id bigint, text string"))
+    fitted = mx.fit_matrix(more)
+    index = mx.vocab_index(fitted.vocab(2))
+
+    def cells():
+        rows = mx.weighted_rows(fitted.bags, index, fitted.facts, score, carry=["term_id"])
+        return sorted((r.doc_id, r.term, r.term_id, r.n, round(r.weight, 12)) for r in mx.cells(rows).collect()), rows.count()
+
+    in_rows = cells()
+    monkeypatch.setattr(mx, "VOCAB_BYTES", -1)
+    assert cells() == in_rows and in_rows[0]
