@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bytes of text that a task works on at once.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 2 << 20
 
 _WORD = bytes([c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256)])
 # Lower-cases A-Z; white space is \x20 and \x09-\x0D, as in bytes.split().
@@ -46,7 +47,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = P
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(t) if t else 0 for t in texts_of(batch, name)]).cumsum()
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(name).cast(pa.binary())), 0)).astype(np.int64).cumsum()
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0

@@ -97,7 +97,7 @@ class LanguageModel:
 
     def parse(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that each text needs in each language, and its letters."""
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         symbols = self.symbols(points)
         is_letter = self.letters[np.minimum(points, 0xFFFF)]
         n_letters = np.bincount(owner[is_letter], minlength=len(sizes))

@@ -129,7 +129,9 @@ def frequent_grams(docs: DataFrame, limit: int = HOT_LIMIT, n: int = WORDS) -> n
     most ``limit``: what reaches the driver is bounded by that."""
 
     def often(grams: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.sort(np.concatenate(grams))
+        every = np.concatenate(grams)
+        grams.clear()
+        every.sort()
         edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         times = np.diff(np.append(edge, len(every)))
         return pa.RecordBatch.from_arrays([pa.array(every[edge[times > 1]].astype(np.int64)), pa.array(times[times > 1])], names=["g", "n"])
@@ -221,6 +223,7 @@ def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
         row = np.repeat(np.arange(len(times), dtype=np.int32), times)
         ids = np.concatenate([np.frombuffer(p[3], np.int64) for p in parts])
         n = np.concatenate([np.frombuffer(p[4], np.int32) for p in parts]).astype(np.int64)
+        parts.clear()
         at = np.argsort(grams)
         g = grams[at]
         same = g[1:] == g[:-1]
