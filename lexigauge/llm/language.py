@@ -156,29 +156,42 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def first_texts(rows: DataFrame, parts: dict[str, float], share: int) -> DataFrame:
+    """``(lang, place, text)``: the distinct texts of each language in that part of the hash range, in the
+    order of the hash, until they hold ``share`` characters."""
+    part = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")]
+    near = rows.filter(F.pmod("h", F.lit(1 << 20)) < part * (1 << 20))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h")
+    before = F.sum(F.length("text")).over(order) - F.length("text")
+    return once.select("lang", F.row_number().over(order).alias("place"), "text", before.alias("before")).filter(F.col("before") < share).drop("before")
+
+
 def train(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> LanguageModel:
     """Automata of the languages in ``lang``, from documents that are not held out.
 
-    Of each language as many documents as its share of ``train_chars`` needs, by the order of a hash of
-    the text, which copies share and which therefore count once.
+    Of each language as many documents as its share of ``train_chars`` needs, or all where they hold
+    less, by the order of a hash of the text, which copies share and which therefore count once.
     """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(counts)
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, DOC_CHARS).alias("text"))
+    once = rows.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n"))
+    there = {r[0]: r[1] for r in once.groupBy("lang").agg(F.sum("n")).collect()}
+    langs = sorted(there)
     if not langs:
-        return LanguageModel([], np.zeros(1 << 16, np.uint8), letter_table(), [])
+        return fit({})
     share = train_chars // len(langs)
-    most = max(1, 4 * share // DOC_CHARS)
-    # a slice of the hash range that holds about four times as many, so that little is ordered
-    part = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 4 * most / counts[k])))])[F.col("lang")]
-    near = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 20)) < part * (1 << 20))
-    once = near.groupBy("lang", "h").agg(F.min(F.substring("text", 1, DOC_CHARS)).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h")
-    picked = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    picked = picked.select("lang", F.col("place").alias("h"), "text")
+    # a slice of the hash range that holds several times as much, so that little is ordered
+    parts = {k: min(1.0, (4 * share + 16 * DOC_CHARS) / there[k]) for k in langs}
     texts: dict[str, list[tuple[int, str]]] = {}
-    for lang, h, text in picked.toLocalIterator():
-        texts.setdefault(lang, []).append((h, text))
+    while parts:
+        for lang, place, text in first_texts(rows, parts, share).toLocalIterator():
+            texts.setdefault(lang, []).append((place, text))
+        # a slice that held less than expected is read again, wider
+        short = [k for k in parts if parts[k] < 1 and sum(len(t) for _, t in texts.get(k, [])) < min(share, there[k])]
+        parts = {k: min(1.0, 8 * parts[k]) for k in short}
+        for k in short:
+            texts.pop(k, None)
     lower, letters = lower_table(), letter_table()
     chosen = {}
     for lang in langs:

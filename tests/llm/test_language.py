@@ -48,3 +48,16 @@ def test_nothing_learned(make_docs):
     model = lg.train(docs)
     assert {r.lang_pred for r in lg.identify(docs, model).collect()} == {"und"}
     assert lg.identify(make_docs([]), lg.train(make_docs([]))).count() == 0
+
+
+def test_short_texts_and_copies_teach_whole_shares(spark, monkeypatch):
+    learned = {}
+    monkeypatch.setattr(lg, "fit", lambda chosen, *rest: learned.update(chosen))
+    short = spark.range(4000).selectExpr("id AS doc_id", "concat('short text ', md5(cast(id AS string))) AS text", "'s' AS lang")
+    copies = spark.range(300000).selectExpr("id + 10000 AS doc_id", "if(id < 298000, 'one text', concat('other ', repeat(md5(cast(id AS string)), 8))) AS text", "'c' AS lang")
+    scarce = spark.range(40).selectExpr("id + 900000 AS doc_id", "md5(cast(id AS string)) AS text", "'f' AS lang")
+    lg.train(short.unionAll(copies).unionAll(scarce), 60_000)
+    sizes = {k: len(v.replace("\n", "")) for k, v in learned.items()}
+    there = scarce.filter(~lg.held_out()).count() * 32
+    assert sizes == {"s": 20_000, "c": 20_000, "f": there}
+    assert learned["c"].split("\n").count("one text") <= 1
