@@ -25,8 +25,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TRAIN_CHARS = 120_000
 # Characters taken of one labelled document, so that no single one speaks for a language.
 DOC_CHARS = 2_000
-# Symbols of the automata: 0 stands for everything between words, 1 for a letter never learned.
-ALPHABET = 64
+# Symbols of the automata: 0 stands for everything between words, 1 for a letter never learned, which
+# no phrase holds; every learned letter has its own.
+GAP, STRANGE = 0, 1
+# Places that are tried for a row of a transition table before the search moves on.
+TRIES = 32
 # A parse starts anew after so many symbols; all of a text is parsed.
 BLOCK = 256
 UNDETERMINED = "und"
@@ -43,46 +46,85 @@ def code_points(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def letter_table() -> np.ndarray:
-    """True for the letters of the first 65,536 code points; larger ones count as letters."""
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(1 << 16)])
+    """True for the letters among all code points."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
 
 
 def lower_table() -> np.ndarray:
     """Lower-cased code point where that is a single one."""
-    low = [chr(c).lower() if not 0xD800 <= c < 0xE000 else chr(c) for c in range(1 << 16)]
-    return np.array([ord(s) if len(s) == 1 and ord(s) < 1 << 16 else c for c, s in enumerate(low)], np.uint32)
+    low = [chr(c).lower() if not 0xD800 <= c < 0xE000 else chr(c) for c in range(sys.maxunicode + 1)]
+    return np.array([ord(s) if len(s) == 1 else c for c, s in enumerate(low)], np.uint32)
 
 
-def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions (state, symbol) -> state or 0, of all substrings of ``symbols``; the start is state 0
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions symbol -> state of every state, of all substrings of ``symbols``; the start is state 0
     and nothing leads back to it."""
-    go = np.zeros((2 * len(symbols) + 2, alphabet), np.int32)
+    go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
 
-    def state(size: int, to: int) -> int:
+    def state(size: int, to: int, out: dict[int, int]) -> int:
         length.append(size)
         link.append(to)
+        go.append(out)
         return len(length) - 1
 
     for c in symbols.tolist():
-        new = state(length[last] + 1, 0)
+        new = state(length[last] + 1, 0, {})
         p = last
-        while p >= 0 and not go[p, c]:
-            go[p, c] = new
+        while p >= 0 and c not in go[p]:
+            go[p][c] = new
             p = link[p]
         if p >= 0:
-            q = int(go[p, c])
+            q = go[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin = state(length[p] + 1, link[q])
-                go[twin] = go[q]
-                while p >= 0 and go[p, c] == q:
-                    go[p, c] = twin
+                twin = state(length[p] + 1, link[q], dict(go[q]))
+                while p >= 0 and go[p].get(c) == q:
+                    go[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return go[: len(length)].copy()
+    return go
+
+
+def interleave(go: list[dict[int, int]]) -> np.ndarray:
+    """The transitions in one table: a state is the place where its row begins, and the entry at state +
+    symbol holds the state whose row it is in (upper half) and the next one (lower half), -1 where no row
+    has it. Rows lie between each other, so the table grows with the transitions, whatever the alphabet.
+    The start is 0; the last entry is empty."""
+    base, taken, begun = [0] * len(go), bytearray(1 << 12), bytearray(1 << 12)
+    low = 0  # the search for a place begins here
+    for k in [0, *sorted(range(1, len(go)), key=lambda k: -len(go[k]))]:
+        row = sorted(go[k]) or [0]
+        at, tries = low, 0
+        while k:
+            at = taken.find(0, at)  # a free entry for the first symbol
+            if at < 0:
+                at = len(taken)
+            need = at + row[-1] - row[0] + 1
+            if need > len(taken):
+                taken.extend(bytes(need))
+                begun.extend(bytes(need))
+            b = at - row[0]
+            if b > 0 and not begun[b] and not any(taken[b + c] for c in row):
+                break
+            at += 1
+            tries += 1
+            if tries == TRIES:
+                low, tries = max(low, at - TRIES // 2), 0
+        b = at - row[0] if k else 0
+        if b + row[-1] >= len(taken):
+            taken.extend(bytes(b + row[-1] + 1))
+            begun.extend(bytes(b + row[-1] + 1))
+        base[k], begun[b] = b, 1
+        for c in go[k]:
+            taken[b + c] = 1
+    table = np.full(taken.rfind(1) + 2, -1, np.int64)
+    for k, row in enumerate(go):
+        for c, to in row.items():
+            table[base[k] + c] = base[k] << 32 | base[to]
+    return table
 
 
 @dataclass
@@ -93,13 +135,13 @@ class LanguageModel:
     automata: list[np.ndarray]
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        return self.symbol_of[np.minimum(points, 0xFFFF)]
+        return self.symbol_of[points]
 
     def parse(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that each text needs in each language, and its letters."""
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         symbols = self.symbols(points)
-        is_letter = self.letters[np.minimum(points, 0xFFFF)]
+        is_letter = self.letters[points]
         n_letters = np.bincount(owner[is_letter], minlength=len(sizes))
         # one gap between words, however long
         keep = symbols > 0
@@ -117,20 +159,20 @@ class LanguageModel:
         phrases = np.zeros((len(self.names), len(sizes)), np.int64)
         columns = [symbols[first[:n] + t] for t, n in enumerate(alive.tolist())]
         for k, table in enumerate(self.automata):
-            flat, starts = table.ravel(), table[0]
-            state = np.zeros(len(first), np.int32)
+            state = np.zeros(len(first), np.int64)
             count = np.zeros(len(first), np.int32)
             for c in columns:
                 n = len(c)
                 if not n:
                     break
                 # a phrase begins at the start, after a symbol of no phrase, and where none goes on
-                ahead = flat[state[:n] * ALPHABET + c]
-                broken = np.flatnonzero(ahead == 0)
+                entry = table.take(state[:n] + c, mode="clip")
+                broken = np.flatnonzero(entry >> 32 != state[:n])
                 count[:n] += state[:n] == 0
                 count[broken] += state[broken] != 0
-                ahead[broken] = starts[c[broken]]
-                state[:n] = ahead
+                again = table.take(c[broken], mode="clip")
+                entry[broken] = np.where(again >> 32 == 0, again, 0)
+                state[:n] = entry & 0xFFFFFFFF
             phrases[k] = np.bincount(block_owner, weights=count, minlength=len(sizes)).astype(np.int64)
         return phrases, n_letters
 
@@ -209,12 +251,11 @@ def fit(chosen: dict[str, str], lower: np.ndarray | None = None, letters: np.nda
     """Model of given text for each language."""
     lower = lower_table() if lower is None else lower
     letters = letter_table() if letters is None else letters
-    points = {k: lower[np.minimum(np.frombuffer(v.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)] for k, v in chosen.items()}
+    points = {k: lower[np.frombuffer(v.encode("utf-32-le", "replace"), np.uint32)] for k, v in chosen.items()}
     every = np.concatenate([*points.values(), np.zeros(0, np.uint32)])
     found, n = np.unique(every[letters[every]], return_counts=True)
-    top = found[np.lexsort((found, -n))][: ALPHABET - 2]
-    symbol_of = np.where(letters, 1, 0).astype(np.uint8)
-    symbol_of[np.sort(top)] = np.arange(2, 2 + len(top))
+    symbol_of = np.where(letters, STRANGE, GAP).astype(np.int32)
+    symbol_of[found[np.lexsort((found, -n))]] = np.arange(2, 2 + len(found))
     symbol_of = symbol_of[lower]
     names = sorted(points)
     automata = []
@@ -222,7 +263,7 @@ def fit(chosen: dict[str, str], lower: np.ndarray | None = None, letters: np.nda
         s = symbol_of[points[name]]
         keep = s > 0
         keep[1:] |= s[:-1] > 0
-        automata.append(suffix_automaton(s[keep], ALPHABET))
+        automata.append(interleave(suffix_automaton(s[keep])))
     return LanguageModel(names, symbol_of, letters, automata)
 
 

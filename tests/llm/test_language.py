@@ -61,3 +61,40 @@ def test_short_texts_and_copies_teach_whole_shares(spark, monkeypatch):
     there = scarce.filter(~lg.held_out()).count() * 32
     assert sizes == {"s": 20_000, "c": 20_000, "f": there}
     assert learned["c"].split("\n").count("one text") <= 1
+
+
+def test_every_letter_counts():
+    draw = np.random.default_rng(5)
+
+    def words(first, n, size, k):
+        return " ".join("".join(chr(c) for c in draw.integers(first, first + n, k)) for _ in range(size))
+
+    latin = words(0x61, 26, 3000, 5)
+    model = lg.fit({"a": latin, "cyr": words(0x430, 32, 100, 5), "han1": words(0x4E00, 300, 300, 8), "han2": words(0x6000, 300, 300, 8), "got": words(0x10330, 27, 100, 5)})
+    texts = [words(0x61, 26, 50, 5), words(0x430, 32, 50, 5), words(0x4E00, 300, 50, 8), words(0x6000, 300, 50, 8), words(0x10330, 27, 50, 5)]
+    names, score, rate = model.predict([t.encode() for t in texts])
+    assert names == ["a", "cyr", "han1", "han2", "got"] and (score > 0.05).all()
+    # no letter of an untaught script goes on with a phrase; characters that are no letters do not count
+    strange = [words(0x531, 38, 50, 6).encode(), words(0x20000, 300, 50, 6).encode(), ("\U0001F600" * 50).encode()]
+    names, score, rate = model.predict(strange)
+    assert (rate[:2] > lg.REJECT_SCORE).all() and rate[0] >= 1 and rate[1] >= 1
+    assert names[2] == lg.UNDETERMINED and score[2] == 0
+
+
+def test_interleaved_rows_are_the_automaton():
+    draw = np.random.default_rng(7)
+    for alphabet, n in ((3, 400), (900, 2000)):
+        text = draw.integers(2, 2 + alphabet, n)
+        go = lg.suffix_automaton(text)
+        table = lg.interleave(go)
+        assert (table >= 0).sum() == sum(map(len, go)) and table[-1] == -1
+        place, todo = {0: 0}, [0]
+        while todo:
+            k = todo.pop()
+            for c, to in go[k].items():
+                entry = int(table[place[k] + c])
+                assert entry >> 32 == place[k]
+                if to not in place:
+                    todo.append(to)
+                assert place.setdefault(to, entry & 0xFFFFFFFF) == entry & 0xFFFFFFFF
+        assert len(place) == len(set(place.values())) == len(go)
