@@ -325,6 +325,11 @@ def descend(net: Network, toxic: list, clean: list, hard: list, draw) -> None:
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve nearest to ``y``, with a little pull towards 1 and 0."""
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.25 * ((a - 1) ** 2 + b * b))
+
     a, b = 1.0, 0.0
     for _ in range(50):
         p = _sigmoid(a * x + b)
@@ -332,6 +337,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         g = np.array([((p - y) * x).sum() + 0.5 * (a - 1), (p - y).sum() + 0.5 * b])
         h = np.array([[(w * x * x).sum() + 0.5, (w * x).sum()], [(w * x).sum(), w.sum() + 0.5]])
         move = np.linalg.solve(h, g)
+        # a whole step may lead away where the curve is flat
+        while loss(a - move[0], b - move[1]) > loss(a, b) and np.abs(move).max() > 1e-9:
+            move = move / 2
         a, b = a - move[0], b - move[1]
         if np.abs(move).max() < 1e-6:
             break

@@ -32,8 +32,7 @@ def test_held_out_and_odd_texts(spark, make_docs):
     known = docs.join(labels, "doc_id", "left_semi")
     got = tx.score_documents(known, model).join(labels, "doc_id").filter("held_out").collect()
     hits = [r for r in got if r.toxic == 1]
-    # few toxic documents teach here: 108 of 120 are found, of the 0.1 GB tables 543 of 543
-    assert sum(r.predicted for r in hits) > 0.85 * len(hits)
+    assert sum(r.predicted for r in hits) > 0.9 * len(hits)
     assert sum(r.predicted for r in got if r.toxic == 0) < 0.03 * len(got)
     text = next(r.text for r in known.join(labels, "doc_id").filter("toxic = 1 AND length(text) BETWEEN 300 AND 900").collect() if "moron" in r.text or "idiot" in r.text)
     odd = make_docs([(1, None), (2, ""), (3, "!! ??"), (4, "the " * 60000 + text), (5, text), (5, text), (None, "of")])
@@ -47,3 +46,11 @@ def test_one_class_only(spark, make_docs):
     docs = make_docs([(1, "a"), (2, None)])
     scores = {r.score for r in tx.score_documents(docs, tx.train(docs, labels)).collect()}
     assert len(scores) == 1 and 0 <= scores.pop() <= 1
+
+
+def test_logistic_settles():
+    x = np.concatenate([np.full(800, -8.0), np.full(180, 12.0), np.full(3, -8.0)])
+    y = np.concatenate([np.zeros(880), np.ones(103)])
+    a, b = tx.logistic(x, y)
+    p = 1 / (1 + np.exp(-(a * x + b)))
+    assert abs(((p - y) * x).sum() + 0.5 * (a - 1)) < 1e-3 and abs((p - y).sum() + 0.5 * b) < 1e-3
