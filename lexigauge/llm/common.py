@@ -98,5 +98,9 @@ class Shared:
             self._opened = cloudpickle.loads(self._sent.value)
         return self._opened
 
+    def release(self) -> None:
+        """Take it away from the executors once its last reader has run."""
+        self._sent.unpersist()
+
     def __getstate__(self):
         return {"_sent": self._sent}

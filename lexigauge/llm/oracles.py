@@ -87,3 +87,89 @@ least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON a = d.doc_id
 """
+
+ORACLES["op11_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_LETTER_WORDS}, []) AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*)::BIGINT AS n
+      FROM (SELECT item_id, unnest({_LETTER_WORDS}) AS term
+            FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) GROUP BY ALL),
+p AS (SELECT r, doc_id, len(w)::BIGINT AS n, term, tf
+      FROM (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL)
+      JOIN d USING (r) WHERE term IN (SELECT term FROM q)),
+f AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS weight
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+scored AS (SELECT item_id, r, doc_id,
+                  sum(q.n * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * p.n * big_n) // big_l))))::BIGINT AS score
+           FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+_RUNS = "regexp_extract_all({0}, '[0-9a-f]([0-9a-f]{{8}})', 1)"
+
+
+def _print_sql(words: str) -> str:
+    """The fingerprint of a list of words."""
+    heads = f"list_transform({words}, lambda x: substr(md5(x), 1, 8))"
+    places = (
+        f"list_filter(range(0, greatest(len({words}) - 4, 0)), lambda i: least(n[i + 1], n[i + 5]) <= least(n[i + 2], n[i + 3], n[i + 4]))"
+    )
+    one = (
+        "substr('0123456789abcdef', (p[j] - coalesce(p[j - 1], 0) + 1)::BIGINT, 1) || "
+        f"substr(md5(array_to_string({words}[p[j] + 1:p[j] + 5], ' ')), 1, 8)"
+    )
+    whole = f"CASE WHEN len({words}) > 0 THEN '0' || substr(md5(array_to_string({words}, ' ')), 1, 8) ELSE '' END"
+    return f"""(SELECT CASE WHEN len(p) > 0 THEN array_to_string(list_transform(range(1, len(p) + 1), lambda j: {one}), '') ELSE {whole} END
+        FROM (SELECT {places} AS p FROM (SELECT {heads} AS n)))"""
+
+
+def _like_sql(a: str, b: str) -> str:
+    x, y = (f"list_distinct({_RUNS.format(c)})" for c in (a, b))
+    return f"CASE WHEN len({x}) + len({y}) = 0 THEN 1.0 ELSE len(list_intersect({x}, {y})) * 2.0 / (len({x}) + len({y})) END::DOUBLE"
+
+
+def _words_sql(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLES["op12_syncmer_fingerprints"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT *, lead(r) OVER w AS nr, first_value(r) OVER w AS fr FROM d
+      WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(t), r)),
+x AS (SELECT o.r, o.doc_id, length(o.t)::BIGINT AS n_chars, coalesce(nr, fr) AS nr, o.t,
+             substr(o.t, 1, (length(o.t) - length(o.t) // 2)::BIGINT) || substr(e.t, 1, (length(o.t) // 2)::BIGINT) AS edited
+      FROM o JOIN d e ON e.r = coalesce(nr, fr)),
+w AS (SELECT *, {_words_sql("t")} AS tw, {_words_sql("edited")} AS ew FROM x),
+f AS (SELECT r, doc_id, n_chars, nr, sha256(edited) AS edited_sha256, {_print_sql("tw")} AS fingerprint,
+             {_print_sql("ew")} AS edited_fingerprint FROM w)
+SELECT f.doc_id, f.n_chars, f.edited_sha256, f.fingerprint, f.edited_fingerprint,
+       {_like_sql("f.fingerprint", "f.edited_fingerprint")} AS near_edited,
+       {_like_sql("f.fingerprint", "g.fingerprint")} AS near_next
+FROM f JOIN f g ON g.r = f.nr
+"""
+
+ORACLES["op13_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+           FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS size, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * v.size) AS p,
+             1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.size) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN t USING (lang, source)),
+m AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM z WHERE part = 'pair' OR rank <= 50
+"""

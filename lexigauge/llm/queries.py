@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigauge.llm import decontaminate, html_text, language, licenses, mixing, ngram_join, quality, token_counts, topk, toxicity
+from lexigauge.llm import (
+    decontaminate, divergence, html_text, language, licenses, mixing, ngram_join, quality, ranked_search, syncmers,
+    token_counts, topk, toxicity,
+)
 from lexigauge.llm.common import read
 from lexigauge.llm.oracles import ORACLES  # noqa: F401
 
@@ -68,3 +71,18 @@ def op9_token_counts(spark, sf_dir):
 @query
 def op10_source_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_syncmer_fingerprints(spark, sf_dir):
+    return syncmers.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(read(spark, sf_dir, "documents"))
