@@ -28,9 +28,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNKNOWN_WEIGHT = 1e-5
 # A questionnaire up to this many (text, token) rows and pairs travels to every task.
 BROADCAST_ROWS = 2_000_000
-# Cells of the working arrays of one step inside a task.
-STEP_CELLS = 2_000_000
-
 SUMS = ("ab", "aa", "bb", "sa", "sb")
 
 
@@ -202,6 +199,9 @@ def _sums_by_broadcast(
         "n": np.asarray(token_table["n"].filter(used))[order].astype(float),
         "length": np.bincount(term_of, minlength=len(term_ids)),
     }
+    # the pairs of a text side by side, for the texts that a document touches
+    by_a = np.argsort(plan["a"], kind="stable")
+    plan |= {"by_a": by_a, "degree": np.bincount(plan["a"], minlength=len(text_ids))}
     shared = spark.sparkContext.broadcast(plan)
     terms = F.col("entries.term").alias("terms")
     values = [F.col(f"entries.{w}").cast("array<double>").alias(w) for w in weights]
@@ -245,35 +245,46 @@ def _line_maker(shared, weights: tuple[str, ...]):
     return run
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 ... (count[0] numbers), first[1], ... in one array."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def _add_batch(plan: dict, batch: pa.RecordBatch, weights: tuple[str, ...], met: dict, touched: dict) -> None:
-    """Add the documents of one Arrow batch to the products of every pair and to the squares and sums
-    of every text, texts being the rows of what is multiplied."""
+    """Add the documents of one Arrow batch to the products of every pair and to the squares and sums of
+    every text. A document's terms lead through the inverted lists (term -> texts) to the texts that it
+    touches; only those get a sum, and only pairs of two of them a product."""
     lists = batch.column("terms")
     found = pc.index_in(lists.flatten(), plan["terms"])
     hit = np.asarray(pc.is_valid(found))
     term = np.asarray(found.drop_null())
     doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))[hit]
     length, first = plan["length"], np.cumsum(plan["length"]) - plan["length"]
-    reach = np.cumsum(np.bincount(doc, weights=length[term], minlength=len(lists)))
-    n_texts, a, b = plan["n_texts"], plan["a"], plan["b"]
-    per_step = max(1, STEP_CELLS // max(1, n_texts, len(a)))
+    degree, pairs_from = plan["degree"], np.cumsum(plan["degree"]) - plan["degree"]
     values = {w: np.asarray(batch.column(w).flatten())[hit] for w in weights}
-    lo = 0
-    while lo < len(lists):
-        before = reach[lo - 1] if lo else 0
-        hi = int(np.searchsorted(reach, before + STEP_CELLS, "right"))
-        hi = min(max(hi, lo + 1), lo + per_step, len(lists))
-        i, j = np.searchsorted(doc, [lo, hi])
-        count = length[term[i:j]]
-        # all (cell, text) meetings of this step, the texts of one term lying side by side
-        at = np.repeat(first[term[i:j]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        slot = plan["text"][at] * (hi - lo) + np.repeat(doc[i:j] - lo, count)
+    place = np.zeros(plan["n_texts"], np.int64)  # of a touched text, counted from 1
+    ends = np.cumsum(np.bincount(doc, minlength=len(lists)))
+    for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        if lo == hi:
+            continue
+        count = length[term[lo:hi]]
+        at = _ranges(first[term[lo:hi]], count)
+        text, n = plan["text"][at], plan["n"][at]
+        place[text] = 1
+        texts = np.flatnonzero(place) if len(text) * 8 > len(place) else np.unique(text)
+        place[texts] = np.arange(1, len(texts) + 1)
+        slot = place[text] - 1
+        pair = plan["by_a"][_ranges(pairs_from[texts], degree[texts])]
+        left = np.repeat(np.arange(len(texts)), degree[texts])
+        right = place[plan["b"][pair]] - 1
+        both = right >= 0
+        pair, left, right = pair[both], left[both], right[both]
         for w in weights:
-            meet = np.repeat(values[w][i:j], count) * plan["n"][at]
-            v = np.bincount(slot, meet, (hi - lo) * n_texts).reshape(n_texts, hi - lo)
-            met[w][0] += np.einsum("ij,ij->i", v[a], v[b])
-            touched[w] += [np.einsum("ij,ij->i", v, v), v.sum(axis=1)]
-        lo = hi
+            v = np.bincount(slot, np.repeat(values[w][lo:hi], count) * n, len(texts))
+            met[w][0, pair] += v[left] * v[right]
+            touched[w][0, texts] += v * v
+            touched[w][1, texts] += v
+        place[texts] = 0
 
 
 # ---------------------------------------------------------------- dense models

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,14 +102,51 @@ def test_cosines_equal_the_dense_ones(spark, bound):
     assert [r["similarity"] for r in out if (r["a"], r["b"]) == (12, 13)] == pytest.approx([1, 1])
 
 
-def test_small_steps_give_the_same_sums(spark, tiny, monkeypatch):
-    texts = spark.createDataFrame([(0, "the cow"), (1, "lamp fire the"), (2, "moon")], "text_id bigint, text string")
-    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a bigint, b bigint")
-    fitted = mx.fit_matrix(tiny)
-    want = ap.matrix_similarities(fitted, texts, pairs, ("count", "zeroone"), 1).orderBy("model", "a", "b").collect()
-    monkeypatch.setattr(sim, "STEP_CELLS", 1)
-    got = ap.matrix_similarities(fitted, texts, pairs, ("count", "zeroone"), 1).orderBy("model", "a", "b").collect()
-    assert [r["similarity"] for r in got] == pytest.approx([r["similarity"] for r in want])
+def _plan(texts, pairs, n_texts):
+    """The plan of a task from {text: {term: n}} and pairs of texts."""
+    terms = sorted({t for bag in texts.values() for t in bag})
+    lists = [[(i, bag[t]) for i, bag in texts.items() if t in bag] for t in terms]
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    return {
+        "a": a, "b": b, "n_texts": n_texts, "terms": pa.array(terms), "length": np.array([len(x) for x in lists]),
+        "text": np.array([i for x in lists for i, _ in x]), "n": np.array([float(n) for x in lists for _, n in x]),
+        "by_a": np.argsort(a, kind="stable"), "degree": np.bincount(a, minlength=n_texts),
+    }
+
+
+def _documents(rows):
+    terms = pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.string()))
+    return pa.record_batch([terms, pa.array([[w for _, w in r] for r in rows], pa.list_(pa.float64()))], names=["terms", "w"])
+
+
+def test_sums_of_touched_texts_equal_dense_ones():
+    rng = np.random.default_rng(3)
+    texts = {i: {f"t{t}": int(rng.integers(1, 4)) for t in rng.choice(30, 4, replace=False)} for i in range(12)}
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2))]
+    rows = [[(f"t{t}", float(rng.random())) for t in rng.choice(40, rng.integers(0, 12), replace=False)] for _ in range(25)]
+    plan = _plan(texts, pairs, 12)
+    met, touched = {"w": np.zeros((1, 40))}, {"w": np.zeros((2, 12))}
+    for part in (rows[:10], [], rows[10:]):
+        sim._add_batch(plan, _documents(part), ("w",), met, touched)
+    v = np.array([[sum(texts[i].get(t, 0) * w for t, w in r) for r in rows] for i in range(12)])
+    assert met["w"][0] == pytest.approx([float(v[a] @ v[b]) for a, b in pairs])
+    assert touched["w"] == pytest.approx(np.stack([(v * v).sum(axis=1), v.sum(axis=1)]))
+
+
+def test_no_array_of_documents_and_texts():
+    """Many documents and texts that hardly meet: the memory follows what meets."""
+    n = 20_000
+    texts = {i: {f"t{i}": 1} for i in range(n)}
+    plan = _plan(texts, [(i, (i + 1) % n) for i in range(n)], n)
+    rows = [[(f"t{i % n}", 1.0), (f"t{(i + 1) % n}", 2.0)] for i in range(3000)]
+    met, touched = {"w": np.zeros((1, n))}, {"w": np.zeros((2, n))}
+    batch = _documents(rows)
+    tracemalloc.start()
+    sim._add_batch(plan, batch, ("w",), met, touched)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met["w"].sum() == 2.0 * 3000 and peak < 20 << 20  # 3,000 x 20,000 numbers would be 480 MB
+
 
 
 def test_hot_paths_have_no_cross_join(spark, tiny):
