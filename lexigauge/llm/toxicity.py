@@ -15,16 +15,20 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigauge.llm.common import Shared, letter_words, map_pieces, texts_of
+from lexigauge.operators.tables import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Labelled documents that are learned from, clean and toxic ones, and characters of each, at most.
+# Labelled documents that are learned from, clean and toxic ones, at most, and the characters of all that are
+# held for it: whole texts, fewer of them where they are long.
 TRAIN_DOCS = (4000, 1500)
-TRAIN_CHARS = 8_000
+TRAIN_CHARS = 24_000_000
+# Parts of the labelled texts that are each read with the odds of the others.
+FOLDS = 4
 # Words of a window, and words between the starts of two.
 WINDOW = 32
 STRIDE = 16
@@ -236,8 +240,8 @@ class WordTable:
         self.gates = {d: np.concatenate([g, x @ p[f"wx{d}"] + p[f"b{d}"]]) for d, g in self.gates.items()}
 
 
-def bucket_odds(texts: list[bytes], y: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of toxic against clean documents for each hash bucket, by presence."""
+def bucket_counts(texts: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Clean and toxic documents that hold each hash bucket, and how many of either there are."""
     sets = [sorted(set(letter_words(t))) for t in texts]
     words = sorted({w for x in sets for w in x})
     flat, begin = buckets(words)
@@ -248,8 +252,12 @@ def bucket_odds(texts: list[bytes], y: np.ndarray) -> np.ndarray:
         if own:
             found = np.unique(np.concatenate([flat[begin[k] : end[k]] for k in map(number.__getitem__, own)]))
             counts[int(label), found] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
-    rate = (counts + PRIOR * n / n.sum()) / (n + PRIOR)
+    return counts, np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
+
+
+def bucket_odds(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of toxic against clean documents for each hash bucket, by presence."""
+    rate = (counts + PRIOR * n / max(1, n.sum())) / (n + PRIOR)
     return np.clip(np.log(rate[1] / rate[0]), -3, 5)
 
 
@@ -260,14 +268,16 @@ def fit(texts: list[bytes], y: np.ndarray) -> ToxicityModel:
     if not len(texts) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel(np.zeros(BUCKETS), Network().load(Network(), np.float32), 0.0, float(np.log(rate / (1 - rate))))
-    # each half is learned from with the odds of the other, as unseen texts are read
-    half = [np.arange(len(texts)) % 2 == k for k in (0, 1)]
-    odds = [bucket_odds([t for t, h in zip(texts, half[1 - k], strict=True) if h], y[half[1 - k]]) for k in (0, 1)]
+    # each fold is learned from with the odds of the others, as unseen texts are read
+    fold = [np.arange(len(texts)) % FOLDS == k for k in range(FOLDS)]
+    counted = [bucket_counts([t for t, h in zip(texts, f, strict=True) if h], y[f]) for f in fold]
+    counts, n = (sum(x) for x in zip(*counted, strict=True))
+    odds = [bucket_odds(counts - c, n - m) for c, m in counted]
     net = Network()
     words = [letter_words(t) for t in texts]
     inputs: list[np.ndarray] = [np.zeros((0, INPUTS))] * len(texts)
-    for k in (0, 1):
-        own = np.flatnonzero(half[k]).tolist()
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold[k]).tolist()
         every = sorted({w for i in own for w in words[i]})
         number, table = {w: n for n, w in enumerate(every)}, ToxicityModel(odds[k], net, 1.0, 0.0).inputs(every)
         for i in own:
@@ -288,18 +298,18 @@ def fit(texts: list[bytes], y: np.ndarray) -> ToxicityModel:
     descend(net, toxic, clean, [], draw)
     # the clean windows that it takes for toxic are shown to it again
     hard = []
-    for k in (0, 1):
-        unmarked = np.flatnonzero((y == 0) & half[k])
+    for k in range(FOLDS):
+        unmarked = np.flatnonzero((y == 0) & fold[k])
         shown = ToxicityModel(odds[k], Network().load(net, np.float32), 1.0, 0.0)
         owner, start, logit = shown.windows([texts[i] for i in unmarked], WordTable())
         hard += [inputs[unmarked[o]][s : s + WINDOW] for o, s in zip(owner[logit > -3], start[logit > -3], strict=True)]
     descend(net, toxic, clean, hard, draw)
     net.load(net, np.float32)
     best = np.zeros(len(texts))
-    for k in (0, 1):
-        best[half[k]] = ToxicityModel(odds[k], net, 1.0, 0.0).highest([t for t, h in zip(texts, half[k], strict=True) if h], WordTable())
+    for k in range(FOLDS):
+        best[fold[k]] = ToxicityModel(odds[k], net, 1.0, 0.0).highest([t for t, h in zip(texts, fold[k], strict=True) if h], WordTable())
     slope, shift = logistic(np.clip(best, -12, 12), y)
-    return ToxicityModel(bucket_odds(texts, y), net, slope, shift)
+    return ToxicityModel(bucket_odds(counts, n), net, slope, shift)
 
 
 def descend(net: Network, toxic: list, clean: list, hard: list, draw) -> None:
@@ -347,17 +357,22 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = TRAIN_DOCS) -> ToxicityModel:
-    """Model of at most ``most`` labelled clean and toxic documents, the first TRAIN_CHARS of each.
+    """Model of at most ``most`` labelled clean and toxic documents with whole texts, TRAIN_CHARS in all.
 
-    They are the first by a hash of their ids. Null labels do not count; of several label rows of
+    They are the first by a hash of their ids, of either label those whose running length stays within half
+    of TRAIN_CHARS, the first one in any case. Null labels do not count; of several label rows of
     a document the larger stands; of several rows of a document the first text.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     sides = [known.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in enumerate(most)]
     sample = F.broadcast(sides[0].unionAll(sides[1]))  # sum(most) rows
-    found = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(sample, "doc_id")
-    rows = found.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).toLocalIterator()
+    found = durable(docs.select("doc_id", "text").join(sample, "doc_id"), "labelled")
+    found = found.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = found.withColumn("held", F.coalesce(F.sum(F.length("text")).over(so_far), F.lit(0)) + F.length("text"))
+    held = held.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    rows = held.filter((F.col("held") <= TRAIN_CHARS // 2) | (F.col("place") == 1)).select("doc_id", "y", "text").toLocalIterator()
     rows = sorted((r[0], r[1], r[2].encode()) for r in rows)
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], float))
 
