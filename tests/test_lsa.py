@@ -40,9 +40,10 @@ def _low_rank(dense, k):
     return (u[:, :k] * s[:k]) @ v[:k], s[:k]
 
 
-@pytest.mark.parametrize("panel_bytes", [lsa.PANEL_BYTES, 8 * 60 * 3])
-def test_truncated_svd(source, dense, panel_bytes):
-    svd = lsa.decompose(source, 6, panel_bytes=panel_bytes)
+@pytest.mark.parametrize("side", ["terms", "documents"])
+@pytest.mark.parametrize("panel_bytes", [lsa.PANEL_BYTES, 8 * 130 * 3, 8])
+def test_truncated_svd(source, dense, panel_bytes, side):
+    svd = lsa.decompose(source, 6, panel_bytes=panel_bytes, side=side)
     want, sigma = _low_rank(dense, 6)
     assert svd.sigma == pytest.approx(sigma, rel=1e-9)
     terms = {r["term_id"]: r["term"] for r in source.vocab.collect()}
@@ -55,7 +56,34 @@ def test_truncated_svd(source, dense, panel_bytes):
 
 def test_randomized_svd(source, dense):
     svd = lsa.randomized_svd(source, 4)
-    assert svd.sigma == pytest.approx(_low_rank(dense, 4)[1], rel=1e-6)
+    assert svd.side.name == "terms" and svd.sigma == pytest.approx(_low_rank(dense, 4)[1], rel=1e-6)
+
+
+def test_fewer_documents_than_terms(fitted):
+    """The block is as long as the documents are many; the factors are those of the terms' side."""
+    few = mx.fitted(fitted.bags.filter("doc_id < 25"))
+    source = lsa.term_rows(few, "tfidf", 1)
+    assert source.n_docs < source.n_terms
+    one, two = (lsa.decompose(source, 4, side=s) for s in (None, "terms"))
+    assert one.side.name == "documents" and one.sigma == pytest.approx(two.sigma, rel=1e-8)
+    for x, y in ((one.term_factors(), two.term_factors()), (one.doc_factors(), two.doc_factors())):
+        a, b = (np.array([r[1] for r in sorted(f.collect())]) for f in (x, y))
+        assert a.shape == b.shape and np.abs(a @ a.T - b @ b.T).max() < 1e-5 * one.sigma[0] ** 2
+    listed = few.bags.filter("doc_id IN (3, 4, 99)").select("doc_id")
+    assert sorted(r["doc_id"] for r in one.doc_factors(listed).collect()) == [3, 4]
+    u = np.array([r["v"] for r in one.term_directions().collect()])
+    assert np.abs(u.T @ u - np.eye(4)).max() < 1e-6
+
+
+def test_triangles_in_a_tree(spark, monkeypatch):
+    draw = np.random.default_rng(0)
+    m = draw.normal(size=(300, 5)) * [1e8, 1, 1, 1e-6, 1]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id bigint, p array<double>").repartition(37)
+    monkeypatch.setattr(lsa, "TRIANGLES", 3)
+    r = lsa.triangle(df, "p")
+    assert np.abs(r.T @ r / (m.T @ m) - 1).max() < 1e-6
+    q = np.array([x["p"] for x in lsa._orthonormal(df).collect()])
+    assert np.abs(q.T @ q - np.eye(5)).max() < 1e-12
 
 
 def test_document_factors_by_join(source, monkeypatch):
