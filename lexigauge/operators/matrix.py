@@ -202,6 +202,8 @@ class FittedMatrix:
 
     bags: DataFrame
     facts: CorpusFacts
+    pattern: str = tx.TOKEN_PATTERN
+    stop_list: list[str] | None = None  # the words left out, none being an empty list; None if not known
 
     @cached_property
     def frequency(self) -> DataFrame:
@@ -218,11 +220,12 @@ class FittedMatrix:
 
     def without(self, stop_words: Iterable[str]) -> FittedMatrix:
         """The same corpus without these words; the texts are not read again."""
-        return fitted(durable(without_stop_words(self.bags, stop_words), "bags"))
+        words = sorted({*stop_words, *(self.stop_list or [])})
+        return fitted(durable(without_stop_words(self.bags, stop_words), "bags"), self.pattern, words)
 
 
-def fitted(bags: DataFrame) -> FittedMatrix:
-    return FittedMatrix(bags, corpus_facts(bags))
+def fitted(bags: DataFrame, pattern: str = tx.TOKEN_PATTERN, stop_list: Iterable[str] | None = None) -> FittedMatrix:
+    return FittedMatrix(bags, corpus_facts(bags), pattern, None if stop_list is None else list(stop_list))
 
 
 def fit_matrix(
@@ -232,7 +235,8 @@ def fit_matrix(
     pattern: str = tx.TOKEN_PATTERN,
 ) -> FittedMatrix:
     """Tokenise once and write the bags."""
-    return fitted(durable(document_bags(corpus, stop_words, preprocess, pattern), "bags"))
+    words = sorted(set(stop_words)) if stop_words else []
+    return fitted(durable(document_bags(corpus, words, preprocess, pattern), "bags"), pattern, words)
 
 
 def model_stats(frequency: DataFrame, facts: CorpusFacts, min_df: int, truncate: int | None = None) -> DataFrame:

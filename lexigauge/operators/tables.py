@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from functools import cache
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +23,21 @@ _RUN = uuid.uuid4().hex
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset the session's warehouse, which
-    all executors share too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder named by ``spark.checkpoint.dir``; where that is unset the session's warehouse. A warehouse
+    in a file system of one machine is refused where the executors are on others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        check_shared(folder, spark.sparkContext.master)
     return f"{folder.rstrip('/')}/lexigauge-{_RUN}"
 
 
+def check_shared(folder: str, master: str) -> None:
+    """Raise if only the driver's machine sees the folder and tasks run on others."""
+    if not master.startswith("local") and urlparse(folder).scheme in ("", "file"):
+        raise ValueError(f"{folder} is on one machine; name a folder that all executors share in spark.checkpoint.dir")
+
+
 @cache
 def _clear_at_exit() -> None:
     atexit.register(clear)

@@ -234,6 +234,15 @@ FROM conversations c JOIN conversations l ON l.conv_id = c.conv_id AND l.turn =
         "cells_csv": f"""
 WITH {short_corpus}, {CORPUS}
 SELECT term, doc_id, {r6('n * 1.0::DOUBLE')} AS weight FROM cnt JOIN dfs USING (term) WHERE df >= 2""",
+        "wide_csv": f"""
+WITH {short_corpus}, {CORPUS}
+SELECT term, doc_id, {r6('n * 1.0::DOUBLE')} AS weight FROM cnt JOIN dfs USING (term) WHERE df >= 2""",
+        "block_files": f"""
+WITH {short_corpus}, {CORPUS}, {_tfidf('w', 'cnt', 'dfs')} SELECT term, doc_id, {r6('weight')} AS weight FROM w""",
+        "worker_answer_files": """
+SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'Rejected' ELSE 'Approved' END AS status, c_mktsegment AS lp_id,
+       'SP' || i AS sp_id, (c_custkey * i % 7)::BIGINT AS score
+FROM customer, (SELECT unnest(range(1, 7)) AS i)""",
         "lsa_full_rank_entries": f"""
 WITH {short_corpus}, {CORPUS}
 SELECT term, doc_id, round(n * 1.0::DOUBLE, 4) AS weight FROM cnt JOIN dfs USING (term) WHERE df >= 2""",

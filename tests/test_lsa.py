@@ -10,6 +10,12 @@ from lexigauge.operators import matrix as mx
 from lexigauge.operators import similarity as sim
 
 
+@pytest.fixture(autouse=True)
+def step_by_step(monkeypatch):
+    """The small matrices here would be taken whole."""
+    monkeypatch.setattr(lsa, "WHOLE_SIDE", 0)
+
+
 @pytest.fixture(scope="module")
 def fitted(spark):
     rng = random.Random(5)
@@ -40,8 +46,7 @@ def _low_rank(dense, k):
     return (u[:, :k] * s[:k]) @ v[:k], s[:k]
 
 
-@pytest.mark.parametrize("side", ["terms", "documents"])
-@pytest.mark.parametrize("panel_bytes", [lsa.PANEL_BYTES, 8 * 130 * 3, 8])
+@pytest.mark.parametrize("panel_bytes, side", [(lsa.PANEL_BYTES, "terms"), (8 * 130 * 3, "documents"), (8, "documents")])
 def test_truncated_svd(source, dense, panel_bytes, side):
     svd = lsa.decompose(source, 6, panel_bytes=panel_bytes, side=side)
     want, sigma = _low_rank(dense, 6)
@@ -75,6 +80,14 @@ def test_fewer_documents_than_terms(fitted):
     assert np.abs(u.T @ u - np.eye(4)).max() < 1e-6
 
 
+def test_short_side_taken_whole(source, dense, monkeypatch):
+    monkeypatch.setattr(lsa, "WHOLE_SIDE", 1024)
+    want = np.linalg.svd(dense, compute_uv=False)
+    for method in (lsa.truncated_svd, lsa.randomized_svd):
+        found = method(source, 9)
+        assert found.passes == 1 and found.sigma == pytest.approx(want[:9], rel=1e-9)
+
+
 def test_triangles_in_a_tree(spark, monkeypatch):
     draw = np.random.default_rng(0)
     m = draw.normal(size=(300, 5)) * [1e8, 1, 1, 1e-6, 1]

@@ -1,3 +1,4 @@
+import csv
 import json
 
 import pytest
@@ -82,6 +83,61 @@ def test_answer_files_in_different_column_orders(spark, tmp_path):
     assert got == sorted((f, "Approved", f"SP{i}", i) for f in ("a.csv", "b.csv") for i in range(1, 7))
 
 
+def test_worker_files_of_other_widths(spark, tmp_path):
+    """A later file with columns ahead, one with quoted line breaks, an empty one; a lacking column is named."""
+    base = ["AssignmentStatus", "Input.LP", *study.ANSWERS]
+
+    def write(name, columns, rows):
+        with open(tmp_path / name, "w", newline="") as f:
+            out = csv.writer(f)
+            out.writerows([columns, *[[r.get(c, "x,\ny") for c in columns] for r in rows]])
+
+    def row(lp):
+        return {"AssignmentStatus": "Approved", "Input.LP": lp, **{c: str(i) for i, c in enumerate(study.ANSWERS, 1)}}
+
+    write("1.csv", base, [row("LP1")])
+    write("2.csv", ["A", "B", "C", *base, "D"], [row("LP2"), row("LP3")])
+    (tmp_path / "3.csv").write_text("")
+    got = sorted((r.lp_id, r.worker, r.sp_id, r.score) for r in study.read_worker_answers(spark, str(tmp_path)).collect())
+    workers = {"LP1": 0, "LP2": 1 << 32, "LP3": (1 << 32) + 1}
+    assert got == sorted((lp, w, f"SP{i}", i) for lp, w in workers.items() for i in range(1, 7))
+    write("4.csv", base[:-1], [row("LP4")])
+    with pytest.raises(Exception, match="4.csv has no column Answer.s6"):
+        study.read_worker_answers(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 4096])
+def test_kth_id_without_a_sort(spark, buckets):
+    ids = [-(2**62), -5, 0, 3, 4, 1000, 2**40, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    assert [cp.kth_id(df, k, buckets) for k in (1, 2, 5, 8, 9)] == [ids[0], ids[1], ids[4], ids[7], ids[8]]
+    assert cp.kth_id(df, 0) is None and cp.kth_id(df, 10) is None and cp.kth_id(df.limit(0), 1) is None
+
+
+def test_prefix_neither_sorts_nor_writes(spark, tiny):
+    plan = cp.prefix(tiny, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort" not in plan
+    assert sorted(r["doc_id"] for r in cp.prefix(tiny, 2).collect()) == [0, 1]
+    assert cp.prefix(tiny, 1).count() == 3 and cp.prefix(tiny, 9).count() == 0
+
+
+def test_wide_and_block_files(spark, tiny, tmp_path):
+    fitted = mx.fit_matrix(tiny)
+    cells = mx.cells(fitted.rows("tfidf", 1)).select("term", "doc_id", "weight")
+    want = sorted((r["term"], r["doc_id"], round(r["weight"], 12)) for r in cells.collect())
+
+    def read(df):
+        return sorted((r["term"], r["doc_id"], round(r["weight"], 12)) for r in df.collect())
+
+    ms.write_wide_csv(cells, str(tmp_path / "wide"), [0, 1, 2, 3])
+    assert read(ms.read_wide_csv(spark, str(tmp_path / "wide"))) == want
+    vocab = mx.vocab_index(fitted.vocab(1))
+    for name, columns in (("sparse", None), ("dense", 4)):
+        ms.write_blocks(cells, vocab, str(tmp_path / name), columns, block_terms=5)
+        assert read(ms.read_blocks(spark, str(tmp_path / name))) == want
+    assert spark.read.parquet(str(tmp_path / "sparse")).count() == 3
+
+
 # The answers of one question of a published study, two of its models, and what
 # it reports for them. Two candidates tie in their means.
 ACCEPTED = """
@@ -134,6 +190,9 @@ def test_study_reproduces_reported_measures(spark, tmp_path):
     table = spark.read.csv(str(tmp_path / "eval_kendall"), header=True, inferSchema=True).collect()
     assert {r["model"]: r["LP7"] for r in table} == {m: pytest.approx(w[1]) for m, w in REPORTED.items()}
     assert spark.read.json(str(tmp_path / "eval")).count() == 2
+    study.write_similarity_table(flat, str(tmp_path / "table"))
+    table = spark.read.csv(str(tmp_path / "table"), header=True, inferSchema=True)
+    assert table.columns == ["model", *[f"LP7-SP{i}" for i in range(1, 7)]] and table.count() == 2
     wide = study.similarity_table(flat, ["LP7-SP4", "LP7-SP2"]).collect()
     assert all(r["LP7-SP4"] == pytest.approx(0.9) for r in wide)
     points = ev.worker_points(study.read_worker_answers(spark, str(answers)).filter(study.accepted()), ["lp_id"], "sp_id", F.col("worker"), "score")

@@ -1,9 +1,12 @@
 import pytest
 
 from lexigauge import ModelConfig
+from lexigauge.operators import lsa, tables
 from lexigauge.operators import matrix as mx
+from lexigauge.operators import similarity as sim
 from lexigauge.plans import store
 from lexigauge.plans.apply import matrix_similarities
+from lexigauge.sources import model_store as ms
 
 
 def test_saved_models_give_what_fresh_ones_give(spark, tiny, tmp_path):
@@ -24,3 +27,32 @@ def test_saved_models_give_what_fresh_ones_give(spark, tiny, tmp_path):
         name = "named" if r.model == "tfidf" else configs[0].label()
         assert got[name, r.sp_id] == pytest.approx(r.similarity, abs=1e-9)
     assert len(got) == 6
+
+
+def test_saved_models_keep_how_texts_were_taken_apart(spark, tiny, tmp_path):
+    """A pattern of its own and a stop list of its own, which the caller need not repeat."""
+    pattern, stop = "[a-z]+", ["the", "on"]
+    texts = spark.createDataFrame([("a", "The cow's lamp"), ("b", "lamp on fire 12ab")], "text_id string, text string")
+    pairs = spark.createDataFrame([("q", "1", "a", "b")], "lp_id string, sp_id string, a string, b string")
+    fitted = mx.fit_matrix(tiny, stop, pattern=pattern)
+    config = ModelConfig("docbyterm", 2, True, "count")
+    reduced = ModelConfig("lsa", 2, True, "count", svd_components=3)
+    ms.save_matrix(fitted, config, str(tmp_path / "m" / "one"), source="tiny")
+    ms.save_lsa(lsa.fit_lsa(fitted, reduced), reduced, str(tmp_path / "m" / "two"), fitted, "tiny")
+    for name in ("one", "two"):
+        meta = ms.read_meta(spark, str(tmp_path / "m" / name)).first()
+        assert (meta["token_pattern"], sorted(meta["stop_list"]), meta["source"]) == (pattern, sorted(stop), "tiny")
+        assert meta["ignored"] == spark.read.parquet(str(tmp_path / "m" / name / "ignored")).count() > 0
+    got = store.apply_saved(spark, [str(tmp_path / "m" / "one")], texts, pairs).first()["similarity"]
+    bags = sim.text_bags(texts, stop, pattern=pattern)
+    rows = fitted.rows("count", 2)
+    want = sim.pair_cosines(pairs, bags, fitted.vocab(2), rows, 4).first()["similarity"]
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    tables.check_shared("file:/tmp/warehouse", "local[4]")
+    tables.check_shared("hdfs://store/warehouse", "spark://host:7077")
+    for folder in ("file:/tmp/warehouse", "/tmp/warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.check_shared(folder, "spark://host:7077")
