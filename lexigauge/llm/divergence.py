@@ -31,8 +31,9 @@ TERM_RANKS = 50
 
 # Counts that a task holds before it hands them on.
 HELD = 1 << 19
-# Cells (source, term) of a block of terms whose pairs of sources are added up in one task.
-BLOCK_CELLS = 1 << 21
+# Cells (source, term) of a block of terms whose pairs of sources are added up in one task: as many as a
+# language has pairs of sources, so that there are no more sums than cells, within these bounds.
+BLOCK_CELLS = (1 << 15, 1 << 21)
 
 _LETTERS = bytes([c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256)])
 
@@ -149,7 +150,7 @@ def _block_sums(shared: Shared):
     return run
 
 
-def _pairs(cells: DataFrame, groups: DataFrame, block_cells: int) -> DataFrame:
+def _pairs(cells: DataFrame, groups: DataFrame, block_cells: tuple[int, int]) -> DataFrame:
     """``(lang, source, item, value)`` for all pairs of sources of a language."""
     spark = cells.sparkSession
     # one entry for each group; the result has a row for each two of them
@@ -158,7 +159,10 @@ def _pairs(cells: DataFrame, groups: DataFrame, block_cells: int) -> DataFrame:
         known[r["lang"]].append((r["source"], r["base"]))
     table = {g: ([s for s, _ in sorted(x)], np.array([b for _, b in sorted(x)], np.int64)) for g, x in known.items()}
     shared = Shared(spark, table)
-    blocks = cells.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(block_cells)).alias("blocks"))
+    least, most = block_cells
+    pairs = F.pow(F.approx_count_distinct("source"), F.lit(2))
+    size = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), pairs))
+    blocks = cells.groupBy("lang").agg(F.ceil(F.count("*") / size).alias("blocks"))
     dealt = cells.join(blocks, "lang").select("lang", "source", "term", "p", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"))
     sums = dealt.groupBy("lang", "block").applyInArrow(_block_sums(shared), "lang string, a string, b string, x bigint")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("x").alias("x"))
@@ -172,7 +176,7 @@ def _pairs(cells: DataFrame, groups: DataFrame, block_cells: int) -> DataFrame:
     return met.join(sums, ["lang", "a", "b"], "left").select("lang", "source", "item", value.cast("bigint").alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = TERM_RANKS, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = TERM_RANKS, block_cells: tuple[int, int] = BLOCK_CELLS) -> DataFrame:
     """``(lang, source, part, item, value, rank)``.
 
     Part ``pair``: how far each source of a language is from each other one, the sum of the differences of
@@ -183,11 +187,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = TERM_RANKS, bl
     no rows. Other columns are not looked at.
     """
     filled = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = durable(source_counts(collapse(filled)), "source-counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"))
-    kept = durable(kept.filter(F.col("docs") >= min_docs).select("lang", "term", "all"), "kept-terms")
+    # the rows of one term, one for each source, side by side: rare terms go before anything is written
+    of_term = Window.partitionBy("lang", "term")
+    cells = source_counts(collapse(filled)).withColumn("held", F.sum("docs").over(of_term)).withColumn("all", F.sum("n").over(of_term))
+    cells = durable(cells.filter(F.col("held") >= min_docs).select("lang", "source", "term", "n", "all"), "kept-cells")
+    kept = cells.groupBy("lang", "term").agg(F.first("all").alias("all"))
     languages = kept.groupBy("lang").agg(F.count("*").alias("vocabulary"), F.sum("all").alias("lang_total"))
-    cells = durable(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all"), "kept-cells")
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = filled.select("lang", "source").distinct().join(languages, "lang", "left").join(totals, ["lang", "source"], "left")
     total = F.coalesce("total", F.lit(0).cast("bigint"))

@@ -41,7 +41,7 @@ def audit(docs, **options):
     return sorted(rows_of(dv.audit(docs, **options), *COLUMNS), key=str)
 
 
-@pytest.mark.parametrize("cells, held", [(1 << 21, 1 << 19), (17, 5)])
+@pytest.mark.parametrize("cells, held", [(dv.BLOCK_CELLS, 1 << 19), ((17, 17), 5)])
 def test_equals_brute_force(spark, make_docs, monkeypatch, cells, held):
     """Blocks of terms and hand-overs of any size."""
     monkeypatch.setattr(dv, "HELD", held)
