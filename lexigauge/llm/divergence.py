@@ -163,7 +163,8 @@ def _pairs(cells: DataFrame, groups: DataFrame, block_cells: tuple[int, int]) ->
     pairs = F.pow(F.approx_count_distinct("source"), F.lit(2))
     size = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), pairs))
     blocks = cells.groupBy("lang").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    dealt = cells.join(blocks, "lang").select("lang", "source", "term", "p", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"))
+    # one row for each language; by a shuffled join all blocks of a language would stay in one task
+    dealt = cells.join(F.broadcast(blocks), "lang").select("lang", "source", "term", "p", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"))
     sums = dealt.groupBy("lang", "block").applyInArrow(_block_sums(shared), "lang string, a string, b string, x bigint")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("x").alias("x"))
     one, two = groups.alias("g"), groups.alias("h")
