@@ -6,6 +6,7 @@ import atexit
 import uuid
 from functools import cache
 from urllib.parse import urlparse
+from weakref import finalize
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,7 +59,22 @@ def durable(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     _clear_at_exit()
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+# Paths of the tables that ``durable`` has returned and that are still referred to.
+_paths: dict[int, str] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table of a frame that ``durable`` returned, when its last reader has run."""
+    path = _paths.pop(id(df))
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
