@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigauge.operators.tables import durable
+from lexigauge.operators.tables import durable, release
 
 ROUNDS = 60
 
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours, and itself, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = durable(linked.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, durable(linked.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

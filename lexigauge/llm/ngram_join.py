@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigauge.llm.common import Shared, map_pieces, pieces, space_words, texts_of
 from lexigauge.llm.components import components
-from lexigauge.operators.tables import durable
+from lexigauge.operators.tables import durable, release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,6 +38,8 @@ BUCKET_GRAMS = 1 << 22
 BLOCK_GRAMS = 1 << 21
 # Pairs of documents are counted under an n-gram that no more than so many share; more are chained.
 FEW = 8
+# Candidate groups above this go through a second look, in the exact order of frequency among them.
+REFINE_GRAMS = 1 << 18
 # Buckets of a first look at which documents take part in any group.
 SIEVE = 1 << 20
 
@@ -365,6 +367,78 @@ def tree_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
+def in_any(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents of ``groups`` and few others, by a list of at most SIEVE rows, whatever
+    the groups; it keeps most other texts out of a shuffle."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    sieve = F.broadcast(groups.select(part.alias("part")).distinct())
+    return docs.select("doc_id", "text", part.alias("part")).join(sieve, "part", "left_semi").drop("part")
+
+
+def exact_prefixes(docs: DataFrame, heavy: DataFrame, order: Shared, n: int = WORDS) -> DataFrame:
+    """``(doc_id, n, prefix)`` of the documents ``heavy (doc_id)``, their n-grams by how many of them hold each.
+
+    The n-grams that ``order`` knows as frequent come last, unshuffled, and of those no more than a prefix can
+    need; the others are counted in a table, so that an own n-gram always comes before a shared one, however
+    many are shared.
+    """
+
+    def spell(batches):
+        for piece in pieces(batches):
+            sets = [order.value.order(g) for g in gram_sets(texts_of(piece), n)]
+            cold = [int(np.searchsorted(g, _TOP)) for g in sets]
+            sent = [g[: max(c, prefix_length(len(g)))] for g, c in zip(sets, cold, strict=True)]
+            times = [len(g) for g in sent]
+            grams = np.concatenate([*sent, np.zeros(0, np.uint64)])
+            ids = np.repeat(np.asarray(piece.column("doc_id")), times)
+            sizes = np.repeat(np.array([len(g) for g in sets], np.int64), times)
+            step = 1 << 18
+            for at in range(0, len(grams), step):
+                part = slice(at, at + step)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(sizes[part]), pa.array(grams[part].view(np.int64))], names=["doc_id", "n", "g"])
+
+    def pack(batches):
+        for batch in batches:
+            prefix = [np.array(x, np.int64).tobytes() for x in batch.column("prefix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(prefix, pa.binary())], names=["doc_id", "n", "prefix"])
+
+    near = in_any(docs, heavy).join(heavy, "doc_id", "left_semi")
+    spelled = near.mapInArrow(spell, "doc_id bigint, n bigint, g bigint")
+    # a window spills where a table in a task would not fit; the top bit, a negative number, marks the frequent
+    held = F.count("*").over(Window.partitionBy("g"))
+    counted = spelled.filter("g >= 0").withColumn("held", held).unionAll(spelled.filter("g < 0").withColumn("held", F.lit(1 << 62)))
+    firsts = counted.groupBy("doc_id").agg(
+        F.max("n").alias("n"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("held", "g"))), lambda x: x["g"])).alias("all")
+    )
+    return firsts.select("doc_id", "n", F.slice("all", F.lit(1), prefix_sql(F.col("n")).cast("int")).alias("prefix")).mapInArrow(
+        pack, "doc_id bigint, n bigint, prefix binary"
+    )
+
+
+def candidate_groups(docs: DataFrame, once: DataFrame, order: Shared, n: int = WORDS, refine_grams: int = REFINE_GRAMS) -> DataFrame:
+    """``(node, n, component)``: groups that no similar pair leaves, from ``once (doc_id, n, prefix)``.
+
+    Where the order knows too few of the frequent n-grams, those chain documents that have little in common.
+    So the documents of large groups are looked at again, by ``exact_prefixes``; small groups stay.
+    """
+    buckets = lambda grams: max(1, (grams or 0) // BUCKET_GRAMS)
+    grams = once.agg(F.sum(prefix_sql(F.col("n")))).first()[0]
+    member = components(candidate_links(once, buckets(grams))).join(once.select(F.col("doc_id").alias("node"), "n").distinct(), "node")
+    member = durable(member, "member")
+    weight = member.groupBy("component").agg(F.sum("n").alias("w"))
+    heavy = member.join(weight.filter(F.col("w") > refine_grams), "component", "left_semi").select(F.col("node").alias("doc_id"), "n", "component")
+    heavy = durable(heavy, "heavy")
+    grams = heavy.agg(F.sum(prefix_sql(F.col("n")))).first()[0]
+    if not grams:
+        return member
+    again = durable(exact_prefixes(docs, heavy.select("doc_id"), order, n), "prefixes")
+    refined = components(candidate_links(again, buckets(grams)))
+    release(again)
+    light = member.join(heavy.select("component").distinct(), "component", "left_anti")
+    refined = refined.join(heavy.select(F.col("doc_id").alias("node"), "n").distinct(), "node")
+    return durable(light.select("node", "n", "component").unionAll(refined.select("node", "n", "component")), "member")
+
+
 def similar_links(docs: DataFrame, groups: DataFrame, order: Shared, n: int = WORDS) -> DataFrame:
     """``(a, b)``: links within the groups ``grp`` of ``(doc_id, grp, bundle, part)``, by a prefix tree each;
     a task works on the groups of one bundle and part."""
@@ -379,14 +453,12 @@ def similar_links(docs: DataFrame, groups: DataFrame, order: Shared, n: int = WO
             links += tree_links(ids, [order.value.order(g) for g in gram_sets([rows[i] for i in ids], n)])
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    # at most SIEVE rows, whatever the groups; it keeps most other texts out of the shuffle
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
-    sieve = F.broadcast(groups.select(part.alias("part")).distinct())
-    near = docs.select("doc_id", "text", part.alias("part")).join(sieve, "part", "left_semi").drop("part")
-    return near.join(groups, "doc_id").groupBy("bundle", "part").applyInArrow(join, "a bigint, b bigint")
+    return in_any(docs, groups).join(groups, "doc_id").groupBy("bundle", "part").applyInArrow(join, "a bigint, b bigint")
 
 
-def link_documents(docs: DataFrame, n: int = WORDS, hot_limit: int = HOT_LIMIT, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def link_documents(
+    docs: DataFrame, n: int = WORDS, hot_limit: int = HOT_LIMIT, block_grams: int = BLOCK_GRAMS, refine_grams: int = REFINE_GRAMS
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every document.
 
     A document's set is its distinct n-grams, a shorter text being one; two link when 100 * common >=
@@ -402,10 +474,11 @@ def link_documents(docs: DataFrame, n: int = WORDS, hot_limit: int = HOT_LIMIT,
     copies = ["n", "sig_a", "sig_b"]
     firsts = durable(known.groupBy(*copies).agg(F.min("doc_id").alias("doc_id")), "firsts")
     once = known.join(firsts.select("doc_id"), "doc_id", "left_semi")
-    grams = int(firsts.agg(F.sum(prefix_sql(F.col("n")))).first()[0] or 0)
-    candidates = components(candidate_links(once, max(1, grams // BUCKET_GRAMS)))
+    member = candidate_groups(docs, once, order, n, refine_grams)
+    slim = durable(sets.drop("prefix"), "sizes")
+    release(sets)
+    known = slim.filter("n > 0 AND doc_id IS NOT NULL")
     # groups too large for one task are cut into blocks; every pair of blocks meets in a task
-    member = candidates.join(firsts.select(F.col("doc_id").alias("node"), "n"), "node")
     weight = member.groupBy("component").agg(F.sum("n").alias("w"))
     weight = weight.withColumn("k", F.ceil(F.col("w") / F.lit(block_grams)).cast("int"))
     small = int(weight.filter("k = 1").agg(F.sum("w")).first()[0] or 0)
@@ -424,7 +497,7 @@ def link_documents(docs: DataFrame, n: int = WORDS, hot_limit: int = HOT_LIMIT,
     same = known.join(firsts.select(*copies, F.col("doc_id").alias("first")), copies).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(links.unionAll(same))
     return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"))
+        slim.select("doc_id", F.col("n").alias("n_shingles"))
         .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
@@ -433,10 +506,11 @@ def link_documents(docs: DataFrame, n: int = WORDS, hot_limit: int = HOT_LIMIT,
 def keep_one(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns; of rows that
     share a doc_id one stays. Documents with an empty set or a null doc_id all stay."""
-    from pyspark.sql import Window
-
     linked = durable(link_documents(docs, n).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
     place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = docs.join(linked, "doc_id", "left_semi").withColumn("__place__", F.row_number().over(place))
-    once = once.filter("__place__ = 1").drop("__place__")
+    name = "place"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    once = docs.join(linked, "doc_id", "left_semi").withColumn(name, F.row_number().over(place))
+    once = once.filter(F.col(name) == 1).drop(name)
     return once.select(*docs.columns).unionAll(docs.filter("doc_id IS NULL"))

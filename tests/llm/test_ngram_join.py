@@ -53,14 +53,33 @@ def docs():
     return [*rows, (900, None), rows[0], (901, " ".join(text(20000))), (902, "Same same " * 4000)]
 
 
-@pytest.mark.parametrize("hot,block,few", [(nj.HOT_LIMIT, nj.BLOCK_GRAMS, 8), (0, 300, 8), (50, 1000, 2)])
-def test_components(make_docs, docs, monkeypatch, hot, block, few):
+@pytest.mark.parametrize("hot,block,few,refine", [(nj.HOT_LIMIT, nj.BLOCK_GRAMS, 8, 1 << 40), (0, 300, 8, 100), (50, 1000, 2, 0)])
+def test_components(make_docs, docs, monkeypatch, hot, block, few, refine):
     monkeypatch.setattr(nj, "FEW", few)
     monkeypatch.setattr(nj, "BUCKET_GRAMS", 500)
-    got = nj.link_documents(make_docs(docs).repartition(6), hot_limit=hot, block_grams=block).collect()
+    got = nj.link_documents(make_docs(docs).repartition(6), hot_limit=hot, block_grams=block, refine_grams=refine).collect()
     assert sorted(map(tuple, got)) == brute(docs)
 
 
+def test_shared_passages_chain_nothing(spark, make_docs):
+    """Documents of own words and a few common sentences, more of them than the order knows."""
+    draw = random.Random(5)
+    common = [[f"c{draw.randrange(3000)}" for _ in range(12)] for _ in range(300)]
+    texts = []
+    for k in range(1500):
+        parts = [[f"o{k}x{j}" for j in range(150)], *draw.sample(common, 4)]
+        draw.shuffle(parts)
+        texts.append(" ".join(w for p in parts for w in p))
+    texts += [texts[7] + " more words here", texts[8] + " and others there"]
+    docs = make_docs(list(enumerate(texts)))
+    order = nj.Shared(spark, nj.HotOrder(np.zeros(0, np.uint64)))
+    once = nj.signatures(docs, order).cache()
+    loose = nj.candidate_groups(docs, once, order, refine_grams=1 << 40).groupBy("component").count().agg({"count": "max"}).first()[0]
+    groups = nj.candidate_groups(docs, once, order)
+    assert loose > 1000
+    assert sorted(tuple(r) for r in groups.select("node", "component").collect()) == [(7, 7), (8, 8), (1500, 7), (1501, 8)]
+
+
 def test_keep_one_and_odd_rows(make_docs, docs):
     more = [*docs, (None, "x y z v w"), (None, None)]
     kept = nj.keep_one(make_docs(more))
