@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -199,35 +202,64 @@ class Scanner:
 
     def detections(self, words: list[bytes], line: bytes) -> list[tuple[int, int, Rule]]:
         """All matches as (first word, end word, rule)."""
-        out = []
+        out, blanks = [], None
         for k in self.candidates(words, line):
             rule, pattern = self.rules[k]
-            for m in pattern.finditer(line):
-                first = line.count(b" ", 0, m.start())
-                out.append((first, first + m.group().count(b" "), rule))
+            places = np.array([m.span() for m in pattern.finditer(line)], np.int64).reshape(-1, 2)
+            if len(places):
+                blanks = _blanks(line) if blanks is None else blanks
+                first, end = np.searchsorted(blanks, places).T.tolist()
+                out += [(a, b, rule) for a, b in zip(first, end, strict=True)]
         return out
 
     def base_places(self, line: bytes) -> list[tuple[int, str]]:
         """Places of the base phrases; they may overlap."""
-        out = []
+        out, blanks = [], None
         for phrase, label in self.base:
-            at = line.find(phrase)
+            places, at = [], line.find(phrase)
             while at >= 0:
-                out.append((line.count(b" ", 0, at), label))
+                places.append(at)
                 at = line.find(phrase, at + 1)
+            if places:
+                blanks = _blanks(line) if blanks is None else blanks
+                out += [(k, label) for k in np.searchsorted(blanks, places).tolist()]
         return out
 
 
+def _blanks(line: bytes) -> np.ndarray:
+    """Where the blanks of a line are: the k-th stands before word k."""
+    return np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+
+
 def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Detections that no better one contains: better by priority, then longer, then first by name."""
-    ordered = sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name))
     kept: list[tuple[int, int, Rule]] = []
-    for first, end, rule in ordered:
-        if not any(a <= first and end <= b for a, b, _ in kept):
+    for group in _overlapping(found):
+        # those kept so far that no other of them contains: both starts and ends rise
+        starts, ends = [], []
+        for first, end, rule in sorted(group, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name)):
+            at = bisect_right(starts, first)
+            if at and ends[at - 1] >= end:
+                continue
             kept.append((first, end, rule))
+            low, high = bisect_left(starts, first), bisect_right(ends, end)
+            starts[low:high], ends[low:high] = [first], [end]
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
 
 
+def _overlapping(found: list[tuple[int, int, Rule]]) -> Iterator[list[tuple[int, int, Rule]]]:
+    """The detections in groups that no other group overlaps."""
+    group, reach = [], 0
+    for d in sorted(found, key=lambda d: d[0]):
+        if group and d[0] >= reach:
+            yield group
+            group = []
+        group.append(d)
+        reach = max(reach, d[1])
+    if group:
+        yield group
+
+
 def _line(words: list[bytes]) -> bytes:
     return b" " + b" ".join(words) + b" "
 

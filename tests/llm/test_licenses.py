@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from lexigauge.llm import licenses as lc
 from lexigauge.llm.common import letter_words
 
@@ -45,3 +49,38 @@ def test_suppression():
     found = [(0, 10, a), (2, 5, b), (3, 4, a), (4, 8, c), (20, 22, c), (20, 22, a)]
     assert [(x, y, r.name) for x, y, r in lc.suppress(found)] == [(0, 10, "a"), (2, 5, "b"), (20, 22, "a")]
     assert lc.suppress([]) == []
+
+
+def test_suppression_against_all_pairs():
+    draw = random.Random(4)
+    rule = [lc.Rule(f"r{p}", f"r{p}", p, frozenset(), b"") for p in (40, 50, 60, 90)]
+    for _ in range(300):
+        found = []
+        for _ in range(draw.randrange(30)):
+            first = draw.randrange(40)
+            found.append((first, first + draw.randrange(1, 12), draw.choice(rule)))
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name)):
+            if not any(a <= d[0] and d[1] <= b for a, b, _ in kept):
+                kept.append(d)
+        assert lc.suppress(found) == sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
+
+
+def test_base_columns_of_all_documents(spark):
+    """The base part against a plain reading of the contract, over a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in lc.scan_licenses(docs).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(i, label) for p, label in lc.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        at = [i for i, _ in places]
+        assert got[doc_id] == (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+
+
+def test_long_text_of_notices():
+    scanner, words = lc.Scanner(), letter_words(b"Licensed under the MIT license, see above. " * 250_000)
+    line, begin = lc._line(words), time.process_time()
+    base, found = scanner.base_places(line), lc.suppress(scanner.detections(words, line))
+    assert len(base) == 250_000 and len(found) == 250_000 and {r.label for _, _, r in found} == {"mit"}
+    assert time.process_time() - begin < 20
