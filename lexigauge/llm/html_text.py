@@ -30,17 +30,24 @@ TRAIN_PAGES = 500
 EPOCHS = 12
 RATE = 0.02
 SEED = 3
-# Blocks that are labelled at once, and the words of a block that are hashed one by one.
+# Blocks that are labelled at once, or one page, and those whose inputs are held at once.
 LABEL_BLOCKS = 20_000
+INPUT_BLOCKS = 4_096
 
 DIGEST = "page_id bigint, url string, text string, n_chars bigint"
 
+# Attributes as a browser reads them: a quote opens a value only after an equals sign; one that is never
+# closed is part of a value that ends at a blank or at the end of the tag. Nothing is read twice.
+_ATTRS = r"(?>=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+"
+# Tags that end a list of options whose end tag is left out.
+_BLOCK = r"</?(?:article|aside|body|div|footer|form|h[1-6]|header|html|main|nav|ol|p|section|select|table|td|tr|ul)(?=[\s/>])"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<svg(?=[\s/])(?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*(?=[\s>])))*/>"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|select|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<select(?=[\s/>]){_ATTRS}>(?:(?!{_BLOCK}).)*+(?:</select\s*>)?"
+    rf"|<(?P<raw>script|style|noscript|template|title|textarea|svg|iframe)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -142,18 +149,18 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def block_inputs(blocks: list[Block]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, and lengths, links, marks and place."""
-    x = np.zeros((len(blocks), INPUTS), np.float32)
-    n = len(blocks)
-    for k, b in enumerate(blocks):
+def block_inputs(blocks: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+    """One row for each block of a page from ``start`` to ``end``: hashed path, hashed words (all of them), and
+    lengths, links, marks and place."""
+    n, rows = len(blocks), blocks[start:end]
+    x = np.zeros((len(rows), INPUTS), np.float32)
+    for k, b in enumerate(rows):
         x[k, [zlib.crc32(p.encode()) % PATH_BUCKETS for p in b.path]] = 1
         words = b.text.split()
-        for w in words[:1] + words[-1:] if len(words) > 200 else words:
-            x[k, PATH_BUCKETS + zlib.crc32(w.lower().encode()) % WORD_BUCKETS] += 1
-        x[k, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] /= len(words)
+        hashed = np.fromiter((zlib.crc32(w.encode()) for w in b.text.lower().split()), np.int64) % WORD_BUCKETS
+        x[k, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = np.bincount(hashed, minlength=WORD_BUCKETS) / len(words)
         ends = sum(b.text.count(c) for c in ".!?,;")
-        x[k, -NUMBERS:] = (np.log1p(len(words)) / 5, b.link, min(1.0, ends / len(words)), k / n, np.log1p(n) / 6, float(b.path[-1:] == ["p"]))
+        x[k, -NUMBERS:] = (np.log1p(len(words)) / 5, b.link, min(1.0, ends / len(words)), (start + k) / n, np.log1p(n) / 6, float(b.path[-1:] == ["p"]))
     return x
 
 
@@ -191,8 +198,15 @@ class Labeller:
             state = states[t] = o * squashed * mask[t][:, None]
         return states, kept
 
-    def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = [self.run(d, x @ self.p[f"wx{d}"] + self.p[f"b{d}"], mask, False)[0] for d in "fb"]
+    def gates(self, blocks: list[Block]) -> np.ndarray:
+        """What the inputs of a page's blocks add to the gates (T, 2, 4H); the inputs of INPUT_BLOCKS at a time."""
+        weights = np.concatenate([self.p["wxf"], self.p["wxb"]], axis=1)
+        bias = np.concatenate([self.p["bf"], self.p["bb"]])
+        parts = [block_inputs(blocks, k, k + INPUT_BLOCKS) @ weights + bias for k in range(0, len(blocks), INPUT_BLOCKS)]
+        return np.concatenate(parts).reshape(len(blocks), 2, -1)
+
+    def logits(self, gates: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        both = [self.run(d, gates[:, :, k], mask, False)[0] for k, d in enumerate("fb")]
         return np.concatenate(both, axis=2) @ self.p["out"] + self.p["c"]
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
@@ -228,8 +242,7 @@ class Labeller:
             end = k + 1
             while end < len(order) and (end - k + 1) * len(pages[order[end]]) <= LABEL_BLOCKS:
                 end += 1
-            x, mask = pad([block_inputs(pages[i]) for i in order[k:end]])
-            found = self.logits(x, mask) > 0
+            found = self.logits(*pad([self.gates(pages[i]) for i in order[k:end]])) > 0
             for lane, i in enumerate(order[k:end]):
                 out[i] = found[: len(pages[i]), lane]
             k = end
@@ -237,8 +250,8 @@ class Labeller:
 
 
 def pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    longest = max(len(r) for r in rows)
-    x, mask = np.zeros((longest, len(rows), INPUTS), rows[0].dtype), np.zeros((longest, len(rows)), rows[0].dtype)
+    longest, kind = max(len(r) for r in rows), rows[0].dtype
+    x, mask = np.zeros((longest, len(rows), *rows[0].shape[1:]), kind), np.zeros((longest, len(rows)), kind)
     for k, r in enumerate(rows):
         x[: len(r), k], mask[: len(r), k] = r, 1
     return x, mask

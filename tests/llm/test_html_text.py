@@ -42,6 +42,50 @@ def test_blocks_after_open_heads_and_closed_drawings():
         assert [b.text for b in ht.blocks_of(f"<p>a</p>{svg}<p>b</p>")] == ["a", "b"], svg
 
 
+def test_blocks_with_odd_attributes():
+    for page, want in (
+        ("<p title=it's>Don't stop here</p><p>b</p>", ["Don't stop here", "b"]),
+        ('<p>a <a href="x>link</a> b</p>', ["a link b"]),
+        ("<p 'x' = 'a>b'>a</p>", ["a"]),
+        ('<p class=">" id=x>a</p><p "y">b</p>', ["a", "b"]),
+        ("<p>a</p><select><option>1<option>2<p>b</p>", ["a", "b"]),
+        ("<p>a<select name=s><option>1</option><b>x</b></select>c</p>", ["ac"]),
+        ("<select-menu>a</select-menu>", ["a"]),
+    ):
+        assert [b.text for b in ht.blocks_of(page)] == want, page
+
+
+def test_inputs_hold_every_word():
+    words = [f"w{k % 7}" for k in range(1000)]
+    row = ht.block_inputs([ht.Block([], " ".join(words), 0.0, None)])[0]
+    want = np.zeros(ht.WORD_BUCKETS)
+    for w in words:
+        want[ht.zlib.crc32(w.encode()) % ht.WORD_BUCKETS] += 1 / 1000
+    assert np.allclose(row[ht.PATH_BUCKETS : ht.PATH_BUCKETS + ht.WORD_BUCKETS], want)
+
+
+def test_labels_against_a_plain_pass(labeller, monkeypatch):
+    """Pages side by side and inputs in parts give what one block after the other gives."""
+    monkeypatch.setattr(ht, "INPUT_BLOCKS", 3)
+    draw, p, h = np.random.default_rng(5), labeller.p, ht.HIDDEN
+    pages = [ht.blocks_of(ht.template_page(draw)) for _ in range(8)]
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    for page, got in zip(pages, labeller.label(pages), strict=True):
+        x, sides = ht.block_inputs(page), []
+        for d in "fb":
+            state = cell = np.zeros(h)
+            rows = []
+            for v in x if d == "f" else x[::-1]:
+                i, f, o, new = np.split(v @ p[f"wx{d}"] + p[f"b{d}"] + state @ p[f"wh{d}"], 4)
+                cell = squash(f) * cell + squash(i) * np.tanh(new)
+                state = squash(o) * np.tanh(cell)
+                rows.append(state)
+            sides.append(np.array(rows if d == "f" else rows[::-1]))
+        logit = np.concatenate(sides, axis=1) @ p["out"] + p["c"]
+        sure = abs(logit) > 1e-3
+        assert sure.any() and (got == (logit > 0))[sure].all()
+
+
 def test_unseen_templates(labeller):
     draw = np.random.default_rng(77)
     pages = [ht.blocks_of(ht.template_page(draw)) for _ in range(150)]
