@@ -1,16 +1,19 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A vector's components are cut into blocks; a score is the sum of the blocks' partial scores, and
-each task holds the candidates of some partitions. Phase 1: every task lists, block by block, the
-k best partial scores of each query and gathers the full scores of what is listed; the k-th best
-of all tasks is a cutoff that the true k-th score cannot fall below. Phase 2: the cutoffs are
-broadcast, and a candidate that reaches cutoff / blocks in no block cannot reach the cutoff, so
-only the other entries are collected. Phase 3: their scores are resolved exactly.
+The components of all vectors are cut into blocks, each a column of a written table; a block's tasks
+read that column alone and know partial scores only. Phase 1: every block lists its highest partial
+scores of each query; the listed vectors' scores are resolved, and the k-th best of them is a cutoff
+that the true k-th score cannot fall below. Phase 2: the cutoffs are broadcast; a vector that reaches
+the cutoff reaches its uniform share, cutoff / blocks, in some block, and what a block lacks of the
+cutoff when all others give their highest, so a block sends only entries that reach both. Phase 3:
+the partial scores that were not sent are looked up for the vectors sent, and for no others.
 """
 
 from __future__ import annotations
 
 import sys
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +22,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigauge.llm.common import Shared
+from lexigauge.operators.tables import durable, release, shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCKS = 4
+# Two: each further block lowers the uniform share and so sends many more entries.
+BLOCKS = 2
 # Bytes of query vectors broadcast at once; more queries go in further passes.
 QUERY_BYTES = 8 << 20
-# Candidates scored at once.
-CHUNK = 2048
-LISTS = "query_id bigint, ids array<bigint>, scores array<bigint>"
+# Partial scores held at once by a task.
+CELLS = 2 << 20
+ENTRIES = "query_id bigint, key bigint, block int, part bigint"
+RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -38,89 +44,180 @@ def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & sound).select("vec_id", whole.alias("v"))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim)
+def check_range(whole: DataFrame) -> None:
+    """Raise if a score could leave 64 bits."""
+    size = F.aggregate("v", F.lit(0.0), lambda s, e: F.greatest(s, F.abs(e.cast("double"))))
+    most, dim = whole.agg(F.max(size), F.max(F.size("v"))).first()
+    if most and most * most * dim >= 2.0**62:
+        raise ValueError(f"components up to {most:g} times the scale: scores of {dim} of them do not fit 64 bits")
 
 
-def _cut(dim: int, blocks: int) -> list[slice]:
-    edges = np.linspace(0, dim, blocks + 1).astype(int)
-    return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+def _edges(dim: int, blocks: int) -> list[int]:
+    return [b * dim // blocks for b in range(blocks + 1)]
 
 
-def partial_scores(queries: np.ndarray, candidates: np.ndarray, blocks: list[slice]) -> list[np.ndarray]:
-    """Whole-number partial scores; in doubles where those are exact."""
-    most = np.abs(queries).max(initial=0).astype(float) * np.abs(candidates).max(initial=0).astype(float)
-    kind = np.float64 if most * max(1, queries.shape[1]) < 2**52 else np.int64
-    q, c = queries.astype(kind), candidates.astype(kind)
-    return [(q[:, b] @ c[:, b].T).astype(np.int64) for b in blocks]
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k highest scores, ties to the smaller id."""
-    if len(ids) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= cut)
-        return near[np.lexsort((ids[near], -scores[near]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
+def distinct_vectors(whole: DataFrame, k: int, blocks: int) -> DataFrame:
+    """``(key, dim, owners, b0, b1, ...)``: each different vector once, its components cut into block columns.
 
-class Lists:
-    """The k best (score, id) of every query so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.ids, self.scores = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
-
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = np.concatenate((self.ids[q], ids)), np.concatenate((self.scores[q], scores))
-        top = best(ids, scores, self.k)
-        self.ids[q], self.scores[q] = ids[top], scores[top]
+    ``owners`` holds the k + 1 smallest ids with that vector and how often each has it, k at most: of copies,
+    however many, no query can list more. The window keeps k + 1 rows a vector ahead of its shuffle.
+    """
+    counted = whole.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    first = Window.partitionBy("v").orderBy("vec_id")
+    kept = counted.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
+    owned = kept.groupBy("v").agg(F.collect_list(F.struct("vec_id", "times")).alias("owners"))
+    dim = F.size("v")
+    cut = []
+    for b in range(blocks):
+        start, end = F.expr(f"({b} * size(v)) div {blocks}"), F.expr(f"({b + 1} * size(v)) div {blocks}")
+        cut.append(F.slice("v", (start + 1).cast("int"), (end - start).cast("int")).alias(f"b{b}"))
+    return owned.select(F.monotonically_increasing_id().alias("key"), dim.alias("dim"), "owners", *cut)
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Whole-number products of all rows; in doubles where those are exact."""
+    most = np.abs(queries).max(initial=0).astype(float) * np.abs(vectors).max(initial=0).astype(float)
+    kind = np.float64 if most * max(1, queries.shape[1]) < 2**52 else np.int64
+    return (queries.astype(kind) @ vectors.astype(kind).T).astype(np.int64)
 
 
-def _scan(batches, groups, k: int, n_blocks: int, cutoffs):
-    """Lists of one task. Without cutoffs those of phase 1, with them those of phases 2 and 3."""
-    lists = {dim: Lists(len(ids), k) for dim, (ids, _) in groups.items()}
+def _chunks(batches, block: int, blocks: int, groups: dict) -> Iterator[tuple]:
+    """``(dim, keys, partial scores of all queries of that length)`` of bounded size."""
     for batch in batches:
-        size = np.array([len(v) for v in batch.column("v")], np.int64)
-        all_ids = np.asarray(batch.column("vec_id"))
+        dims = np.asarray(batch.column("dim"))
         for dim, (query_ids, queries) in groups.items():
-            rows = np.flatnonzero(size == dim)
-            for start in range(0, len(rows), CHUNK):
-                part = batch.take(pa.array(rows[start : start + CHUNK]))
-                ids = all_ids[rows[start : start + CHUNK]]
-                parts = partial_scores(queries, _matrix(part.column("v"), dim), _cut(dim, n_blocks))
-                total = sum(parts) if parts else np.zeros((len(queries), len(ids)), np.int64)
-                if cutoffs is None:
-                    # listed in some block: among the k best partial scores (and their equals)
-                    wanted = np.zeros(total.shape, bool)
-                    at = max(0, len(ids) - k - 1)  # the query itself may be among them
-                    for p in parts:
-                        wanted |= p >= np.partition(p, at, axis=1)[:, at : at + 1]
-                    wanted |= not parts
-                else:
-                    # phase 2: some block reaches its share of the cutoff; phase 3: the sum does
-                    cut = cutoffs[dim][:, None]
-                    wanted = np.zeros(total.shape, bool)
-                    for p in parts:
-                        wanted |= p * len(parts) >= cut
-                    wanted |= not parts
-                    wanted &= total >= cut
-                wanted &= ids[None, :] != query_ids[:, None]
-                for q in np.flatnonzero(wanted.any(axis=1)):
-                    own = np.flatnonzero(wanted[q])
-                    lists[dim].add(q, ids[own], total[q, own])
-    for dim, (query_ids, _) in groups.items():
-        found = lists[dim]
-        for start in range(0, len(query_ids), CHUNK):
-            s = slice(start, start + CHUNK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[s]), pa.array([x.tolist() for x in found.ids[s]], pa.list_(pa.int64())),
-                 pa.array([x.tolist() for x in found.scores[s]], pa.list_(pa.int64()))],
-                names=["query_id", "ids", "scores"])
+            a, b = _edges(dim, blocks)[block : block + 2]
+            rows, step = np.flatnonzero(dims == dim), max(1, CELLS // max(1, len(query_ids)))
+            for start in range(0, len(rows), step):
+                part = batch.take(pa.array(rows[start : start + step]))
+                vectors = np.asarray(part.column("part").flatten()).reshape(part.num_rows, b - a)
+                yield dim, np.asarray(part.column("key")), products(queries[:, a:b], vectors)
+
+
+def _entries(query_ids, keys, block: int, parts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query_ids), pa.array(keys), pa.array(np.full(len(keys), block, np.int32)), pa.array(parts)],
+        names=["query_id", "key", "block", "part"])
+
+
+def _column(table: DataFrame, block: int) -> DataFrame:
+    return table.select("key", "dim", F.col(f"b{block}").alias("part"))
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionAll(frame)
+    return out
+
+
+def local_lists(table: DataFrame, queries: Shared, k: int, blocks: int) -> DataFrame:
+    """Phase 1: the k + 1 highest partial scores of every query and block, as ENTRIES."""
+
+    def of(block):
+        def run(batches):
+            groups, best = queries.value, {}
+            for dim, keys, p in _chunks(batches, block, blocks, groups):
+                keys = np.broadcast_to(keys, p.shape)
+                if dim in best:
+                    keys, p = np.hstack((best[dim][0], keys)), np.hstack((best[dim][1], p))
+                if p.shape[1] > k + 1:
+                    top = np.argpartition(p, p.shape[1] - k - 1, axis=1)[:, -k - 1 :]
+                    keys, p = np.take_along_axis(keys, top, 1), np.take_along_axis(p, top, 1)
+                best[dim] = keys, p
+            for dim, (keys, p) in best.items():
+                yield _entries(np.repeat(groups[dim][0], p.shape[1]), keys.ravel(), block, p.ravel())
+
+        return run
+
+    found = _together([_column(table, b).mapInArrow(of(b), ENTRIES) for b in range(blocks)])
+    order = Window.partitionBy("query_id", "block").orderBy(F.desc("part"), "key")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place")
+
+
+def sufficient_entries(table: DataFrame, queries: Shared, needs: Shared, blocks: int) -> DataFrame:
+    """Phase 2: the entries whose partial score is ``needs`` of its query and block or more."""
+
+    def of(block):
+        def run(batches):
+            groups = queries.value
+            for dim, keys, p in _chunks(batches, block, blocks, groups):
+                q, c = np.nonzero(p >= needs.value[dim][:, block][:, None])
+                if len(q):
+                    yield _entries(groups[dim][0][q], keys[c], block, p[q, c])
+
+        return run
+
+    return _together([_column(table, b).mapInArrow(of(b), ENTRIES) for b in range(blocks)])
+
+
+def missing_entries(table: DataFrame, queries: Shared, known: DataFrame, blocks: int) -> DataFrame:
+    """Phase 3: the entries that ``known`` lacks of the vectors that it names, for the queries that it names."""
+    seen = known.groupBy("query_id", "key").agg(F.sum(F.expr("shiftleft(1L, block)")).alias("seen"))
+
+    def of(block):
+        def run(batches):
+            groups = {d: (np.argsort(i), np.sort(i), q) for d, (i, q) in queries.value.items()}
+            for batch in batches:
+                dims = np.asarray(batch.column("dim"))
+                for dim in np.unique(dims).tolist():
+                    order, ids, vectors = groups[dim]
+                    a, b = _edges(dim, blocks)[block : block + 2]
+                    same = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                    own = np.asarray(same.column("part").flatten(), np.int64).reshape(same.num_rows, b - a)
+                    times = np.diff(np.asarray(same.column("asked").offsets))
+                    asked, row = np.asarray(same.column("asked").flatten()), np.repeat(np.arange(len(times)), times)
+                    keys, step = np.asarray(same.column("key")), max(1, CELLS // max(1, b - a))
+                    for start in range(0, len(asked), step):
+                        q, c = asked[start : start + step], row[start : start + step]
+                        p = (vectors[order[np.searchsorted(ids, q)], a:b] * own[c]).sum(axis=1)
+                        yield _entries(q, keys[c], block, p)
+
+        return run
+
+    found = []
+    for b in range(blocks):
+        # at most the queries of one broadcast block in a list
+        asked = seen.filter(F.expr(f"(seen & {1 << b}) = 0")).groupBy("key").agg(F.collect_list("query_id").alias("asked"))
+        found.append(_column(table, b).join(asked, "key").mapInArrow(of(b), ENTRIES))
+    return _together(found)
+
+
+def scores(table: DataFrame, known: DataFrame, missing: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k best of vectors all of whose entries are given."""
+    total = known.unionAll(missing).groupBy("query_id", "key").agg(F.sum("part").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    near = total.withColumn("place", F.rank().over(best)).filter(F.col("place") <= k + 1).drop("place")
+    rows = near.join(table.select("key", "owners"), "key").select("query_id", "score", F.explode("owners").alias("o"))
+    rows = rows.filter(F.col("o.vec_id") != F.col("query_id"))
+    rows = rows.select("query_id", "score", F.explode(F.array_repeat("o.vec_id", F.col("o.times"))).alias("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = rows.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def block_needs(groups: dict, heads: DataFrame, first: DataFrame, k: int, blocks: int) -> dict:
+    """What an entry must reach, by length as an array of queries × blocks: the uniform share of the cutoff,
+    and the cutoff less the highest partial scores of the other blocks. A few numbers a query of the block."""
+    cut = {r[0]: r[1] for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}
+    top: dict = {}
+    for query_id, block, part in heads.groupBy("query_id", "block").agg(F.max("part")).collect():
+        top.setdefault(query_id, [0] * blocks)[block] = part
+    lowest = -(2**62)  # fewer candidates than k: everything is sent
+    needs = {}
+    for dim, (ids, _) in groups.items():
+        needs[dim] = np.full((len(ids), blocks), lowest, np.int64)
+        for i, query_id in enumerate(ids.tolist()):
+            if query_id in cut:
+                high = top[query_id]
+                share = -(-cut[query_id] // blocks)
+                needs[dim][i] = [max(share, cut[query_id] - (sum(high) - h)) for h in high]
+    return needs
 
 
 def query_blocks(queries: DataFrame, query_bytes: int):
     """Queries, one for each id, in blocks of about ``query_bytes``, as {length: (ids, vectors)}."""
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = durable(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "top_k_queries")
     total = int(queries.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0)
     n = max(1, -(-total // query_bytes))
     for b in range(n):
@@ -132,6 +229,7 @@ def query_blocks(queries: DataFrame, query_bytes: int):
             vs.append(v)
         if groups:
             yield {d: (np.array(i, np.int64), np.array(v, np.int64).reshape(len(i), d)) for d, (i, v) in groups.items()}
+    release(queries)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blocks: int = BLOCKS, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -140,38 +238,27 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     Null, partly null and non-finite vectors and null ids take no part. A query meets vectors of its
     own length only. Rows that share the query's id are its own; a repeated candidate row is
     listed as often as it occurs; rows with the same query id query once, by the smallest vector.
-    Fewer rows than k: all.
-    Empty table, or no query: no rows.
+    Fewer rows than k: all. Empty table, or no query: no rows. Components so large that a score could
+    leave 64 bits are an error.
+
+    Each block of queries is finished and written before the next starts.
     """
     spark = vectors.sparkSession
     whole = whole_vectors(vectors, scale)
-    out = None
+    check_range(whole)
+    table = durable(distinct_vectors(whole, k, blocks), "top_k_vectors")
+    out = f"{shared_folder(spark)}/top_k-{uuid.uuid4().hex}"
+    spark.createDataFrame([], RESULT).write.parquet(out)
     for groups in query_blocks(whole.filter(F.pmod("vec_id", F.lit(every)) == 0), query_bytes):
-        shared = Shared(spark, groups)
-
-        def phase_1(batches, shared=shared):
-            yield from _scan(batches, shared.value, k, blocks, None)
-
-        # k-th best of what the tasks have listed; with fewer entries there is no cutoff
-        heads = whole.mapInArrow(phase_1, LISTS).select("query_id", F.explode("scores").alias("score"), F.size("scores").alias("n"))
-        kth = Window.partitionBy("query_id").orderBy(F.desc("score"))
-        floor = heads.withColumn("place", F.row_number().over(kth)).filter(F.col("place") == k).select("query_id", "score")
-        known = {r[0]: r[1] for r in floor.collect()}  # one number for each query of the block
-        lowest = np.iinfo(np.int64).min // 64
-        cutoffs = Shared(
-            spark,
-            {d: np.array([known.get(q, lowest) for q in ids.tolist()], np.int64) for d, (ids, _) in groups.items()}
-        )
-
-        def phase_2(batches, shared=shared, cutoffs=cutoffs):
-            yield from _scan(batches, shared.value, k, blocks, cutoffs.value)
-
-        found = whole.mapInArrow(phase_2, LISTS)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    entries = out.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("e"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    entries = entries.select("query_id", F.col("e.ids").alias("vec_id"), F.col("e.scores").alias("score"))
-    ranked = entries.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        queries = Shared(spark, groups)
+        heads = durable(local_lists(table, queries, k, blocks), "top_k_lists")
+        first = scores(table, heads, missing_entries(table, queries, heads, blocks), k)
+        needs = Shared(spark, block_needs(groups, heads, first, k, blocks))
+        sent = durable(sufficient_entries(table, queries, needs, blocks), "top_k_entries")
+        scores(table, sent, missing_entries(table, queries, sent, blocks), k).write.mode("append").parquet(out)
+        for frame in (heads, sent):
+            release(frame)
+        for shared in (queries, needs):
+            shared.release()
+    release(table)
+    return spark.read.schema(RESULT).parquet(out)

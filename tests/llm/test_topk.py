@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lexigauge.llm import topk
 
@@ -36,3 +37,38 @@ def test_none(spark):
     assert topk.top_k(df).count() == 0
     one = spark.createDataFrame([(20, [1.0]), (3, [-2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(one).collect()] == [(20, 1, 3, -128 * 64)]
+
+
+def test_phases_send_and_look_up_less(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=16).round(2).tolist()) for i in range(1200)]
+    whole = topk.whole_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 64)
+    k, blocks, n_queries = 5, 2, 60
+    table = topk.durable(topk.distinct_vectors(whole, k, blocks))
+    (groups,) = topk.query_blocks(whole.filter("vec_id % 20 = 0"), topk.QUERY_BYTES)
+    queries = topk.Shared(spark, groups)
+    heads = topk.local_lists(table, queries, k, blocks)
+    assert heads.count() == n_queries * blocks * (k + 1)
+    first = topk.scores(table, heads, topk.missing_entries(table, queries, heads, blocks), k)
+    needs = topk.Shared(spark, topk.block_needs(groups, heads, first, k, blocks))
+    sent = topk.sufficient_entries(table, queries, needs, blocks).cache()
+    assert 0 < sent.count() < 0.1 * blocks * n_queries * len(rows)
+    survivors = sent.select("query_id", "key").distinct()
+    looked = topk.missing_entries(table, queries, sent, blocks)
+    assert looked.count() == blocks * survivors.count() - sent.count()
+    assert looked.join(survivors, ["query_id", "key"], "left_anti").count() == 0
+    got = sorted(tuple(r) for r in topk.scores(table, sent, looked, k).collect())
+    assert got == brute(rows, k, 20)
+
+
+def test_many_copies_and_blocks(spark):
+    rows = [(i, [1.0, -2.0, 3.0]) for i in range(400)] + [(20, [1.0, -2.0, 3.0])] * 9 + [(400 + i, [i / 50, 1.0, -1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for blocks in (1, 2, 5):
+        assert sorted(tuple(r) for r in topk.top_k(df, 6, 20, blocks=blocks).collect()) == brute(rows, 6, 20)
+
+
+def test_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(20, [3e38, 1.0]), (3, [3e38, 1.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(df)
