@@ -6,7 +6,8 @@ scores of each query; the listed vectors' scores are resolved, and the k-th best
 that the true k-th score cannot fall below. Phase 2: the cutoffs are broadcast; a vector that reaches
 the cutoff reaches its uniform share, cutoff / blocks, in some block, and what a block lacks of the
 cutoff when all others give their highest, so a block sends only entries that reach both. Phase 3:
-the partial scores that were not sent are looked up for the vectors sent, and for no others.
+what was sent meets its vector, the partial scores that were not sent are looked up for the queries
+that named it, and for no others, and scores of the cutoff or more go on to the ranking.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ BLOCKS = 2
 QUERY_BYTES = 8 << 20
 # Partial scores held at once by a task.
 CELLS = 2 << 20
+# Phase 1 lists so many times k entries of a block: the longer the lists, the higher the cutoff.
+DEPTH = 10
 ENTRIES = "query_id bigint, key bigint, block int, part bigint"
+PACKED = "key bigint, block int, query_ids array<bigint>, parts array<bigint>"
+TOTALS = "query_id bigint, key bigint, score bigint, looked_up int"
 RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
@@ -111,8 +116,8 @@ def _together(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def local_lists(table: DataFrame, queries: Shared, k: int, blocks: int) -> DataFrame:
-    """Phase 1: the k + 1 highest partial scores of every query and block, as ENTRIES."""
+def local_lists(table: DataFrame, queries: Shared, length: int, blocks: int) -> DataFrame:
+    """Phase 1: the ``length`` highest partial scores of every query and block, as ENTRIES."""
 
     def of(block):
         def run(batches):
@@ -121,8 +126,8 @@ def local_lists(table: DataFrame, queries: Shared, k: int, blocks: int) -> DataF
                 keys = np.broadcast_to(keys, p.shape)
                 if dim in best:
                     keys, p = np.hstack((best[dim][0], keys)), np.hstack((best[dim][1], p))
-                if p.shape[1] > k + 1:
-                    top = np.argpartition(p, p.shape[1] - k - 1, axis=1)[:, -k - 1 :]
+                if p.shape[1] > length:
+                    top = np.argpartition(p, p.shape[1] - length, axis=1)[:, -length:]
                     keys, p = np.take_along_axis(keys, top, 1), np.take_along_axis(p, top, 1)
                 best[dim] = keys, p
             for dim, (keys, p) in best.items():
@@ -132,73 +137,92 @@ def local_lists(table: DataFrame, queries: Shared, k: int, blocks: int) -> DataF
 
     found = _together([_column(table, b).mapInArrow(of(b), ENTRIES) for b in range(blocks)])
     order = Window.partitionBy("query_id", "block").orderBy(F.desc("part"), "key")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= length).drop("place")
+
+
+def packed(entries: DataFrame) -> DataFrame:
+    """ENTRIES as PACKED: one row a vector and block, with at most the queries of one broadcast block."""
+    pairs = entries.groupBy("key", "block").agg(F.collect_list(F.struct("query_id", "part")).alias("e"))
+    return pairs.select("key", "block", F.col("e.query_id").alias("query_ids"), F.col("e.part").alias("parts"))
 
 
 def sufficient_entries(table: DataFrame, queries: Shared, needs: Shared, blocks: int) -> DataFrame:
-    """Phase 2: the entries whose partial score is ``needs`` of its query and block or more."""
+    """Phase 2: the entries whose partial score is ``needs`` of its query and block or more, as PACKED."""
 
     def of(block):
         def run(batches):
             groups = queries.value
             for dim, keys, p in _chunks(batches, block, blocks, groups):
-                q, c = np.nonzero(p >= needs.value[dim][:, block][:, None])
-                if len(q):
-                    yield _entries(groups[dim][0][q], keys[c], block, p[q, c])
+                c, q = np.nonzero((p >= needs.value[dim][:, block][:, None]).T)
+                own, start = np.unique(c, return_index=True)
+                edges = pa.array(np.append(start, len(c)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (groups[dim][0][q], p[q, c])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[own]), pa.array(np.full(len(own), block, np.int32)), *lists],
+                    names=["key", "block", "query_ids", "parts"])
 
         return run
 
-    return _together([_column(table, b).mapInArrow(of(b), ENTRIES) for b in range(blocks)])
-
-
-def missing_entries(table: DataFrame, queries: Shared, known: DataFrame, blocks: int) -> DataFrame:
-    """Phase 3: the entries that ``known`` lacks of the vectors that it names, for the queries that it names."""
-    seen = known.groupBy("query_id", "key").agg(F.sum(F.expr("shiftleft(1L, block)")).alias("seen"))
-
-    def of(block):
-        def run(batches):
-            groups = {d: (np.argsort(i), np.sort(i), q) for d, (i, q) in queries.value.items()}
-            for batch in batches:
-                dims = np.asarray(batch.column("dim"))
-                for dim in np.unique(dims).tolist():
-                    order, ids, vectors = groups[dim]
-                    a, b = _edges(dim, blocks)[block : block + 2]
-                    same = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                    own = np.asarray(same.column("part").flatten(), np.int64).reshape(same.num_rows, b - a)
-                    times = np.diff(np.asarray(same.column("asked").offsets))
-                    asked, row = np.asarray(same.column("asked").flatten()), np.repeat(np.arange(len(times)), times)
-                    keys, step = np.asarray(same.column("key")), max(1, CELLS // max(1, b - a))
-                    for start in range(0, len(asked), step):
-                        q, c = asked[start : start + step], row[start : start + step]
-                        p = (vectors[order[np.searchsorted(ids, q)], a:b] * own[c]).sum(axis=1)
-                        yield _entries(q, keys[c], block, p)
-
-        return run
-
-    found = []
-    for b in range(blocks):
-        # at most the queries of one broadcast block in a list
-        asked = seen.filter(F.expr(f"(seen & {1 << b}) = 0")).groupBy("key").agg(F.collect_list("query_id").alias("asked"))
-        found.append(_column(table, b).join(asked, "key").mapInArrow(of(b), ENTRIES))
-    return _together(found)
-
-
-def scores(table: DataFrame, known: DataFrame, missing: DataFrame, k: int) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k best of vectors all of whose entries are given."""
-    total = known.unionAll(missing).groupBy("query_id", "key").agg(F.sum("part").alias("score"))
+    return _together([_column(table, b).mapInArrow(of(b), PACKED) for b in range(blocks)])
+
+
+def resolve(table: DataFrame, queries: Shared, sent: DataFrame, blocks: int, needs: Shared | None = None) -> DataFrame:
+    """Phase 3: ``(query_id, key, score, looked_up)`` of every query and vector of ``sent``, or of those with
+    the cutoff of ``needs``. Partial scores that were sent are taken as they are; ``looked_up`` counts the others."""
+    columns = [f"b{b}" for b in range(blocks)]
+    # one entry a block in a list
+    met = sent.groupBy("key").agg(F.collect_list(F.struct("block", "query_ids", "parts")).alias("sent"))
+    met = met.join(table.select("key", "dim", *columns), "key")
+
+    def run(batches):
+        groups = {d: (np.argsort(i), np.sort(i), q) for d, (i, q) in queries.value.items()}
+        for batch in batches:
+            dims = np.asarray(batch.column("dim"))
+            for dim in np.unique(dims).tolist():
+                order, ids, vectors = groups[dim]
+                same = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                lists = same.column("sent")
+                row = np.repeat(np.arange(same.num_rows), np.diff(np.asarray(lists.offsets)))
+                block, asked, parts = lists.flatten().flatten()
+                times = np.diff(np.asarray(asked.offsets))
+                row, block = np.repeat(row, times), np.repeat(np.asarray(block), times)
+                q = np.searchsorted(ids, np.asarray(asked.flatten()))
+                pairs, at = np.unique(row * np.int64(len(ids)) + q, return_inverse=True)
+                known = np.zeros((blocks, len(pairs)), bool)
+                score = np.zeros((blocks, len(pairs)), np.int64)
+                known[block, at], score[block, at] = True, np.asarray(parts.flatten())
+                row, q = pairs // len(ids), pairs % len(ids)
+                edges = _edges(dim, blocks)
+                for b, (first, end) in enumerate(zip(edges, edges[1:], strict=False)):
+                    own = np.asarray(same.column(f"b{b}").flatten(), np.int64).reshape(same.num_rows, end - first)
+                    lacking, step = np.flatnonzero(~known[b]), max(1, CELLS // max(1, end - first))
+                    for start in range(0, len(lacking), step):
+                        i = lacking[start : start + step]
+                        score[b, i] = (vectors[order[q[i]], first:end] * own[row[i]]).sum(axis=1)
+                total, looked = score.sum(axis=0), (~known).sum(axis=0).astype(np.int32)
+                keep = np.full(len(pairs), True) if needs is None else total >= needs.value[dim][order[q], blocks]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[q][keep]), pa.array(np.asarray(same.column("key"))[row[keep]]), pa.array(total[keep]), pa.array(looked[keep])],
+                    names=["query_id", "key", "score", "looked_up"])
+
+    return met.mapInArrow(run, TOTALS)
+
+
+def ranked(table: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k best, every vector under each of its ids."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    near = total.withColumn("place", F.rank().over(best)).filter(F.col("place") <= k + 1).drop("place")
+    near = totals.withColumn("place", F.rank().over(best)).filter(F.col("place") <= k + 1).drop("place")
     rows = near.join(table.select("key", "owners"), "key").select("query_id", "score", F.explode("owners").alias("o"))
     rows = rows.filter(F.col("o.vec_id") != F.col("query_id"))
     rows = rows.select("query_id", "score", F.explode(F.array_repeat("o.vec_id", F.col("o.times"))).alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    places = rows.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
+    return places.select("query_id", "rank", "vec_id", "score")
 
 
 def block_needs(groups: dict, heads: DataFrame, first: DataFrame, k: int, blocks: int) -> dict:
-    """What an entry must reach, by length as an array of queries × blocks: the uniform share of the cutoff,
-    and the cutoff less the highest partial scores of the other blocks. A few numbers a query of the block."""
+    """What an entry must reach, by length as an array of queries × (blocks + 1): the uniform share of the cutoff
+    and the cutoff less the highest partial scores of the other blocks; last the cutoff itself. A few numbers a query."""
     cut = {r[0]: r[1] for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}
     top: dict = {}
     for query_id, block, part in heads.groupBy("query_id", "block").agg(F.max("part")).collect():
@@ -206,12 +230,12 @@ def block_needs(groups: dict, heads: DataFrame, first: DataFrame, k: int, blocks
     lowest = -(2**62)  # fewer candidates than k: everything is sent
     needs = {}
     for dim, (ids, _) in groups.items():
-        needs[dim] = np.full((len(ids), blocks), lowest, np.int64)
+        needs[dim] = np.full((len(ids), blocks + 1), lowest, np.int64)
         for i, query_id in enumerate(ids.tolist()):
             if query_id in cut:
                 high = top[query_id]
                 share = -(-cut[query_id] // blocks)
-                needs[dim][i] = [max(share, cut[query_id] - (sum(high) - h)) for h in high]
+                needs[dim][i] = [*(max(share, cut[query_id] - (sum(high) - h)) for h in high), cut[query_id]]
     return needs
 
 
@@ -251,13 +275,12 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     spark.createDataFrame([], RESULT).write.parquet(out)
     for groups in query_blocks(whole.filter(F.pmod("vec_id", F.lit(every)) == 0), query_bytes):
         queries = Shared(spark, groups)
-        heads = durable(local_lists(table, queries, k, blocks), "top_k_lists")
-        first = scores(table, heads, missing_entries(table, queries, heads, blocks), k)
+        heads = durable(local_lists(table, queries, DEPTH * k + 1, blocks), "top_k_lists")
+        first = ranked(table, resolve(table, queries, packed(heads), blocks), k)
         needs = Shared(spark, block_needs(groups, heads, first, k, blocks))
-        sent = durable(sufficient_entries(table, queries, needs, blocks), "top_k_entries")
-        scores(table, sent, missing_entries(table, queries, sent, blocks), k).write.mode("append").parquet(out)
-        for frame in (heads, sent):
-            release(frame)
+        sent = sufficient_entries(table, queries, needs, blocks)
+        ranked(table, resolve(table, queries, sent, blocks, needs), k).write.mode("append").parquet(out)
+        release(heads)
         for shared in (queries, needs):
             shared.release()
     release(table)

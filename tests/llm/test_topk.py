@@ -27,7 +27,7 @@ def test_against_all_scores(spark):
     rows += [(200, None), (201, [None] + [1.0] * 7), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (None, [1.0] * 8)]
     rows += [(40, rows[40][1]), (20, [2.0] * 8), (205, [1.0, 2.0]), (240, [3.0, 4.0]), (206, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "vec_id AS score", "1 AS v").repartition(5)
-    for size in (topk.QUERY_BYTES, 200):
+    for size in (topk.QUERY_BYTES, 500):
         got = sorted(tuple(r) for r in topk.top_k(df, 7, 20, query_bytes=size).collect())
         assert got == brute(rows, 7, 20)
 
@@ -47,18 +47,18 @@ def test_phases_send_and_look_up_less(spark):
     table = topk.durable(topk.distinct_vectors(whole, k, blocks))
     (groups,) = topk.query_blocks(whole.filter("vec_id % 20 = 0"), topk.QUERY_BYTES)
     queries = topk.Shared(spark, groups)
-    heads = topk.local_lists(table, queries, k, blocks)
-    assert heads.count() == n_queries * blocks * (k + 1)
-    first = topk.scores(table, heads, topk.missing_entries(table, queries, heads, blocks), k)
+    heads = topk.local_lists(table, queries, 10 * k + 1, blocks)
+    assert heads.count() == n_queries * blocks * (10 * k + 1)
+    first = topk.ranked(table, topk.resolve(table, queries, topk.packed(heads), blocks), k)
     needs = topk.Shared(spark, topk.block_needs(groups, heads, first, k, blocks))
-    sent = topk.sufficient_entries(table, queries, needs, blocks).cache()
-    assert 0 < sent.count() < 0.1 * blocks * n_queries * len(rows)
-    survivors = sent.select("query_id", "key").distinct()
-    looked = topk.missing_entries(table, queries, sent, blocks)
-    assert looked.count() == blocks * survivors.count() - sent.count()
-    assert looked.join(survivors, ["query_id", "key"], "left_anti").count() == 0
-    got = sorted(tuple(r) for r in topk.scores(table, sent, looked, k).collect())
-    assert got == brute(rows, k, 20)
+    sent = topk.sufficient_entries(table, queries, needs, blocks)
+    pairs = sent.selectExpr("key", "explode(query_ids) AS query_id").collect()
+    assert 0 < len(pairs) < 0.05 * blocks * n_queries * len(rows)
+    totals = topk.resolve(table, queries, sent, blocks).collect()
+    assert {(r.query_id, r.key) for r in totals} == {(r.query_id, r.key) for r in pairs}
+    assert sum(r.looked_up for r in totals) == blocks * len(totals) - len(pairs)
+    resolved = topk.resolve(table, queries, sent, blocks, needs)
+    assert sorted(tuple(r) for r in topk.ranked(table, resolved, k).collect()) == brute(rows, k, 20)
 
 
 def test_many_copies_and_blocks(spark):
