@@ -27,7 +27,6 @@ KERNEL_WIDTH = 8.0
 SEED = 11
 BINS = 1000  # values of the regression are counted in so many steps for the calibration
 THRESHOLD = 0.3
-SUM_TASKS = 32  # tasks that add up partitions' normal equations
 
 DIGEST = "doc_id bigint, held_out boolean, score double, predicted int"
 NAMES = (
@@ -126,32 +125,34 @@ def _stack(column: pa.Array) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, int]:
-    """Sum of z z' with the label as last column of z, summed within partitions, then in SUM_TASKS tasks."""
+    """Sum of z z' with the label as last column of z, summed within partitions, then line by line of the matrix."""
+
+    width = FEATURES + 2
 
     def sums(batches):
-        total, n = None, 0
+        total, n = np.zeros((width, width)), 0
         for batch in batches:
             if batch.num_rows:
                 z = np.concatenate([features((_stack(batch.column("x")) - mean) / scale), np.asarray(batch.column("y"))[:, None]], axis=1)
-                total, n = z.T @ z + (0 if total is None else total), n + len(z)
+                total, n = total + z.T @ z, n + len(z)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array([r.tobytes() for r in total], pa.binary())], names=["line", "s"])
 
     def add(batches):
-        total, n = None, 0
+        lines = {}
         for batch in batches:
-            for s, k in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                total, n = np.frombuffer(s) + (0 if total is None else total), n + k
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["s", "n"])
-
-    schema = "s binary, n bigint"
-    parts = rows.select("x", "y").mapInArrow(sums, schema)
-    found = parts.coalesce(SUM_TASKS).mapInArrow(add, schema).toLocalIterator()
-    total, n = np.zeros((FEATURES + 2) ** 2), 0
-    for s, k in found:
-        total, n = total + np.frombuffer(bytes(s)), n + k
-    return total.reshape(FEATURES + 2, -1), n
+            for line, s in zip(batch.column("line").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                lines[line] = np.frombuffer(s) + lines.get(line, 0)
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array([v.tobytes() for v in lines.values()], pa.binary())], names=["line", "s"])
+
+    schema = "line bigint, s binary"
+    # width lines of width numbers for the driver, however many partitions
+    found = rows.select("x", "y").mapInArrow(sums, schema).repartition("line").mapInArrow(add, schema).collect()
+    total = np.zeros((width, width))
+    for line, s in found:
+        total[line] = np.frombuffer(bytes(s))
+    return total, rows.count()
 
 
 def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:
