@@ -169,3 +169,46 @@ def test_weights_are_the_same_with_and_without_the_join(spark, tiny, monkeypatch
     in_rows = cells()
     monkeypatch.setattr(mx, "VOCAB_BYTES", -1)
     assert cells() == in_rows and in_rows[0]
+
+
+def test_a_larger_questionnaire_goes_in_blocks_not_through_the_join(spark, tiny, monkeypatch):
+    monkeypatch.setattr(sim, "_sums_by_join", lambda *_: pytest.fail("joined documents and texts"))
+    fitted = mx.fit_matrix(tiny)
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["the cow", "a fire", "lamp cow the", "moon", "the the fire"])], "text_id bigint, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(5)], "a bigint, b bigint")
+    rows = fitted.rows("tfidf", 2)
+
+    def found(bound):
+        out = sim.pair_cosines(pairs, sim.text_bags(texts), fitted.vocab(2), rows, 4, broadcast_rows=bound)
+        return {(r["a"], r["b"]): r["similarity"] for r in out.collect()}
+
+    assert found(9) == pytest.approx(found(1000)) and len(found(9)) == 25
+
+
+def test_a_pass_costs_no_documents_times_texts():
+    """Every text and every document hold the same words; their products are looked up, not made a document at a time."""
+    n, words = 2000, 12
+    bag = {f"t{i}": 1 for i in range(words)}
+    plan = _plan({i: bag for i in range(n)}, [(i, (i + 1) % n) for i in range(n)], n)
+    batch = _documents([[(t, 2.0) for t in bag]] * n)
+    met, touched = {"w": np.zeros((1, n))}, {"w": np.zeros((2, n))}
+    seen, at = [], sim._ranges
+
+    def counted(first, count):
+        seen.append(int(count.sum()))
+        return at(first, count)
+
+    sim._ranges = counted
+    try:
+        sim._add_batch(plan, batch, ("w",), met, touched)
+    finally:
+        sim._ranges = at
+    assert (met["w"] == n * (2 * words) ** 2).all() and (touched["w"][0] == n * (2 * words) ** 2).all()
+    assert sum(seen) < n * words * words * 4  # documents times texts would be 4,000,000 sums of 12
+
+
+def test_a_document_row_with_a_term_twice():
+    plan = _plan({0: {"a": 1, "b": 2}, 1: {"b": 1}}, [(0, 1)], 2)
+    met, touched = {"w": np.zeros((1, 1))}, {"w": np.zeros((2, 2))}
+    sim._add_batch(plan, _documents([[("b", 1.0), ("a", 3.0), ("b", 2.0)]]), ("w",), met, touched)
+    assert met["w"][0, 0] == 27.0 and touched["w"].tolist() == [[81.0, 9.0], [9.0, 3.0]]
