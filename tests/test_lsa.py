@@ -162,3 +162,31 @@ def test_restart_and_unsettled(source, dense, monkeypatch):
 def test_full_rank(source, dense):
     sigma = np.linalg.svd(dense, compute_uv=False)
     assert lsa.truncated_svd(source, 1000).sigma == pytest.approx(sigma[sigma > 1e-6 * sigma[0]], rel=1e-6)
+
+
+def test_factors_travel_to_blocks_not_to_cells(fitted, source, dense):
+    """The factors of a term meet the cells in blocks of documents: no join of the cells with them, any number of blocks."""
+    svd = lsa.truncated_svd(source, 5)
+    low, _ = _low_rank(dense, 5)
+    cells = mx.cells(mx.score_rows(fitted.bags, "count"))
+    cells = cells.unionAll(cells.limit(1))
+    terms = {r["term"]: r["term_id"] for r in source.vocab.collect()}
+    out = lsa.reconstruct(cells, svd.term_factors(), svd.doc_factors(), block_cells=30)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
+    got = out.collect()
+    assert len(got) == int((dense > 0).sum()) + 1
+    assert max(abs(r["weight"] - low[terms[r["term"]], r["doc_id"]]) for r in got) < 1e-5
+
+
+def test_vectors_travel_once_a_block(spark, monkeypatch):
+    """Means of texts in many blocks, with unknown words, and no aggregation of one vector a token."""
+    texts = [(i, ["a", "b", "a c", "x", "c c x"][i % 5]) for i in range(40)]
+    rows = {"a": [1.0, 0.0], "b": [0.0, 2.0], "c": [3.0, 3.0]}
+    vectors = spark.createDataFrame(list(rows.items()), "term string, vec array<double>")
+    monkeypatch.setattr(sim, "BLOCK_CELLS", 4)
+    out = sim.dense_text_vectors(sim.text_bags(spark.createDataFrame(texts, "text_id bigint, text string")), vectors, [0.5, 0.25])
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
+    got = {r["text_id"]: r["vec"] for r in out.collect()}
+    assert len(got) == 40
+    for i, t in texts:
+        assert got[i] == pytest.approx(np.mean([rows.get(w, [0.5, 0.25]) for w in t.split()], axis=0))
