@@ -212,3 +212,13 @@ def test_a_document_row_with_a_term_twice():
     met, touched = {"w": np.zeros((1, 1))}, {"w": np.zeros((2, 2))}
     sim._add_batch(plan, _documents([[("b", 1.0), ("a", 3.0), ("b", 2.0)]]), ("w",), met, touched)
     assert met["w"][0, 0] == 27.0 and touched["w"].tolist() == [[81.0, 9.0], [9.0, 3.0]]
+
+
+def test_rows_are_made_of_few_documents_at_a_time():
+    bags = pa.array([[{"term": f"t{i % 7}", "n": 1}, {"term": "x", "n": 2}] for i in range(2000)], pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())])))
+    batch = pa.record_batch([pa.array(range(2000)), bags], names=["doc_id", "bag"])
+    shared = type("Shared", (), {"value": pa.table({"term": [f"t{i}" for i in range(6)], "_idf": [1.0] * 6})})
+    out = list(mx._row_task(shared, [], "tfidf")(iter([batch.slice(3, 1990)])))
+    assert max(b.num_rows for b in out) <= mx.ROW_DOCUMENTS
+    got = {d: e for b in out for d, e in zip(b["doc_id"].to_pylist(), b["entries"].to_pylist())}
+    assert got == {i: [{"term": f"t{i % 7}", "n": 1, "weight": 1.0}] for i in range(3, 1993) if i % 7 < 6}
