@@ -207,6 +207,38 @@ def test_a_pass_costs_no_documents_times_texts():
     assert sum(seen) < n * words * words * 4  # documents times texts would be 4,000,000 sums of 12
 
 
+def test_a_long_document_costs_no_square_of_its_length(monkeypatch):
+    """Two thousand words, of which a text holds one: the document's values are made, not two million products."""
+    n = 2000
+    plan = _plan({i: {f"t{i}": 1 + i % 3} for i in range(n)}, [(i, (i + 1) % n) for i in range(n)], n)
+    batch = _documents([[(f"t{i}", 1.0 + i % 5) for i in range(n)]])
+    met, touched = {"w": np.zeros((1, n))}, {"w": np.zeros((2, n))}
+    seen, at = [], sim._ranges
+    monkeypatch.setattr(sim, "_ranges", lambda first, count: (seen.append(int(count.sum())), at(first, count))[1])
+    sim._add_batch(plan, batch, ("w",), met, touched)
+    value = np.array([(1 + i % 3) * (1.0 + i % 5) for i in range(n)])
+    assert (met["w"][0] == value * np.roll(value, -1)).all() and (touched["w"] == [value * value, value]).all()
+    assert sum(seen) <= 10 * n
+
+
+@pytest.mark.parametrize("cost", [0, 8, 1e9])
+def test_both_ways_of_adding_documents_agree(monkeypatch, cost):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(sim, "PRODUCT_COST", cost)
+    monkeypatch.setattr(sim, "LOOKUP_COST", cost)
+    monkeypatch.setattr(sim, "VALUE_CELLS", 200)
+    texts = {i: {f"t{t}": int(rng.integers(1, 4)) for t in {*rng.integers(0, 200, 5).tolist(), i % 2}} for i in range(60)}
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (90, 2))]
+    rows = [[(f"t{t}", float(rng.random())) for t in rng.choice(220, rng.integers(0, 120), replace=False)] for _ in range(50)]
+    plan = _plan(texts, pairs, 60)
+    met, touched = {"w": np.zeros((1, 90))}, {"w": np.zeros((2, 60))}
+    for part in (rows[:20], [], rows[20:]):
+        sim._add_batch(plan, _documents(part), ("w",), met, touched)
+    v = np.array([[sum(texts[i].get(t, 0) * w for t, w in r) for r in rows] for i in range(60)])
+    assert met["w"][0] == pytest.approx([float(v[a] @ v[b]) for a, b in pairs])
+    assert touched["w"] == pytest.approx(np.stack([(v * v).sum(axis=1), v.sum(axis=1)]))
+
+
 def test_a_document_row_with_a_term_twice():
     plan = _plan({0: {"a": 1, "b": 2}, 1: {"b": 1}}, [(0, 1)], 2)
     met, touched = {"w": np.zeros((1, 1))}, {"w": np.zeros((2, 2))}
