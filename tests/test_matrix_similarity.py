@@ -221,6 +221,24 @@ def test_a_long_document_costs_no_square_of_its_length(monkeypatch):
     assert sum(seen) <= 10 * n
 
 
+def test_all_scores_are_made_where_the_texts_are_compared(spark, tiny, monkeypatch):
+    """Bags go to one Python step, not rows through two; a vocabulary that does not travel takes the rows."""
+    fitted = mx.fit_matrix(tiny)
+    texts = spark.createDataFrame([(0, "the cow"), (1, "a fire on the lamp"), (2, "lamp moon lamp")], "text_id bigint, text string")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "a bigint, b bigint")
+    scores, steps, made = ("count", "zeroone", "tfidf"), [], sim._line_maker
+    monkeypatch.setattr(sim, "_line_maker", lambda shared, weights, make=None: (steps.append(make), made(shared, weights, make))[1])
+
+    def found():
+        out = ap.matrix_similarities(fitted, texts, pairs, scores, 2)
+        return {(r["a"], r["b"], r["model"]): r["similarity"] for r in out.collect()}
+
+    first = found()
+    monkeypatch.setattr(mx, "VOCAB_BYTES", 0)
+    assert found() == pytest.approx(first) and len(first) == 9
+    assert steps[0] is not None and steps[1] is None
+
+
 @pytest.mark.parametrize("cost", [0, 8, 1e9])
 def test_both_ways_of_adding_documents_agree(monkeypatch, cost):
     rng = np.random.default_rng(5)
