@@ -190,3 +190,20 @@ def test_vectors_travel_once_a_block(spark, monkeypatch):
     assert len(got) == 40
     for i, t in texts:
         assert got[i] == pytest.approx(np.mean([rows.get(w, [0.5, 0.25]) for w in t.split()], axis=0))
+
+
+def test_blocks_do_not_go_through_the_driver(source, dense, monkeypatch):
+    """The tasks read the block of every pass from the shared folder; only a folder that Spark alone can read is
+    an exception, with the same result."""
+    want = lsa.decompose(source, 4)
+    with monkeypatch.context() as no_driver:
+        no_driver.setattr(lsa, "_fill", None)
+        found = [m(source, 4, panel_bytes=b) for m in (lsa.truncated_svd, lsa.randomized_svd) for b in (lsa.PANEL_BYTES, 8 * 60 * 3)]
+        docs = {r["doc_id"]: r["v"] for r in found[0].doc_factors().collect()}
+    for svd in found:
+        assert svd.sigma == pytest.approx(_low_rank(dense, 4)[1], rel=1e-6)
+    assert len(docs) == source.rows.count()
+    monkeypatch.setattr(lsa, "files_of", lambda df: None)
+    other = lsa.decompose(source, 4)
+    assert other.sigma == pytest.approx(want.sigma, rel=1e-12)
+    assert {r["doc_id"]: r["v"] for r in other.doc_factors().collect()}.keys() == docs.keys()
