@@ -50,6 +50,28 @@ def test_saved_models_keep_how_texts_were_taken_apart(spark, tiny, tmp_path):
     assert got == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_saved_models_of_one_vocabulary_share_a_pass(spark, tiny, tmp_path, monkeypatch, blocks):
+    """Three scores, one pass; a model with another vocabulary has its own. The join gives the same."""
+    texts = spark.createDataFrame([("a", "the cow"), ("b", "a lamp on fire"), ("c", "unknown words")], "text_id string, text string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "a string, b string")
+    configs = [ModelConfig("docbyterm", 2, False, s) for s in ("count", "zeroone", "tfidf")]
+    configs.append(ModelConfig("docbyterm", 1, False, "tfidf", output="wide"))
+    paths = store.save_grid(tiny, configs, str(tmp_path / "grid"), [])
+    name = "_sums_by_join" if blocks else "_sums_by_broadcast"
+    passes, made = [], getattr(sim, name)
+    monkeypatch.setattr(sim, name, lambda full, known, rows, *more: (passes.append(rows), made(full, known, rows, *more))[1])
+    if blocks:
+        monkeypatch.setattr(sim.pair_cosines, "__defaults__", (*sim.pair_cosines.__defaults__[:2], 0, None))
+    got = {(r.filename, r.a, r.b): r.similarity for r in store.apply_saved(spark, paths, texts, pairs, []).collect()}
+    assert len(passes) == (4 if blocks else 2) and len(got) == 12
+    fitted = mx.fit_matrix(tiny)
+    for config, path in zip(configs, paths):
+        want = matrix_similarities(fitted, texts, pairs, (config.score,), config.min_document_frequency).collect()
+        for r in want:
+            assert got[path.rsplit("/", 1)[1], r.a, r.b] == pytest.approx(r.similarity, abs=1e-12)
+
+
 def test_a_folder_of_one_machine_is_refused_on_a_cluster():
     tables.check_shared("file:/tmp/warehouse", "local[4]")
     tables.check_shared("hdfs://store/warehouse", "spark://host:7077")
