@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigauge.llm.common import Shared, map_pieces, pieces, space_words, texts_of
-from lexigauge.llm.components import components
+from lexigauge.llm.components import components, roots
 from lexigauge.operators.tables import durable, release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,6 +40,8 @@ BLOCK_GRAMS = 1 << 21
 FEW = 8
 # Candidate groups above this go through a second look, in the exact order of frequency among them.
 REFINE_GRAMS = 1 << 18
+# Sets of a group that may be similar to one by their sizes alone, before its first n-grams are looked up.
+PROBE = 64
 # Buckets of a first look at which documents take part in any group.
 SIEVE = 1 << 20
 
@@ -255,7 +257,20 @@ def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
         count = np.bincount(which, weights=c, minlength=len(pairs)).astype(np.int64)
         least = np.full(len(pairs), np.iinfo(np.int64).max)
         np.minimum.at(least, which, need)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count), pa.array(least)], names=["a", "b", "c", "need"])
+        # links that the bucket settles go on as one of each document to the smallest that it reaches by
+        # them; pairs within what they reach are not needed
+        sure = count >= least
+        nodes, top = roots(pairs[sure, 0], pairs[sure, 1])
+        reach = pairs[~sure].copy()
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, reach), len(nodes) - 1)
+            reach = np.where(nodes[at] == reach, top[at], reach)
+        apart = reach[:, 0] != reach[:, 1]
+        own = nodes != top
+        a, b = (np.concatenate((x[own], y[apart])) for x, y in ((top, pairs[~sure, 0]), (nodes, pairs[~sure, 1])))
+        count = np.concatenate((np.full(own.sum(), 1 << 32), count[~sure][apart]))
+        least = np.concatenate((np.ones(own.sum(), np.int64), least[~sure][apart]))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(count), pa.array(least)], names=["a", "b", "c", "need"])
 
     def collect(batches):
         current, parts = None, []
@@ -317,54 +332,90 @@ def build_tree(sets: list[np.ndarray]) -> Node:
     return root
 
 
+def rare_first(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets in new numbers, those of n-grams that fewer of these sets hold first, and how many n-grams
+    of each another one holds."""
+    size = [len(s) for s in sets]
+    known, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.empty(len(known), np.uint64)
+    number[np.argsort(held, kind="stable")] = np.arange(len(known), dtype=np.uint64)
+    shared = np.bincount(np.repeat(np.arange(len(sets)), size), weights=held[at] > 1, minlength=len(sets))
+    return [np.sort(x) for x in np.split(number[at], np.cumsum(size)[:-1])], shared.astype(np.int64)
+
+
 def tree_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the similar sets of a group into their components; at most one less than there
-    are sets."""
+    """Links that join the similar sets of a group into their components, each set's to the smallest id; at
+    most one less than there are sets.
+
+    A set looks for the larger ones that are similar. Where more than PROBE may be, only those are walked to
+    that share as many of the first n-grams as a similar one must, rare n-grams coming first. None is that has
+    too few n-grams which any other set of a large group holds."""
     if len(sets) < 2:
         return []
+    shared = np.array([len(s) for s in sets])
+    if len(sets) > PROBE:
+        sets, shared = rare_first(sets)
     order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     root, count = build_tree(sets), len(sets)
     size = np.array([len(s) for s in sets])
-    label = np.arange(count)
-    # n-grams among the first ones of each set, to find the sets worth a walk
-    first = prefix_length(size)
-    grams = np.concatenate([s[:p] for s, p in zip(sets, first, strict=True)])
-    owner = np.repeat(np.arange(count), first)
-    at = np.argsort(grams, kind="stable")
-    grams, owner = grams[at], owner[at]
-    links = []
+    # from here sets go by their place in the order of size; ``spot`` is that in the tree
+    spot = np.argsort(size, kind="stable")
+    size, place, shared = size[spot], np.argsort(spot), shared[order][spot]
+    until = np.searchsorted(size, 100 * size // PERCENT, "right")
+    label, members = np.arange(count), {k: [k] for k in range(count)}
+    if count > PROBE:
+        # n-grams among the first ones of each set, and the sets that have them, smaller ones first
+        first = prefix_length(size)
+        grams = np.concatenate([sets[k][:p] for k, p in zip(spot.tolist(), first.tolist(), strict=True)]).astype(np.int64)
+        keys = np.sort(grams * count + np.repeat(np.arange(count), first))
+
+    def join(x: int, y: int) -> None:
+        a, b = int(label[x]), int(label[y])
+        if a != b:
+            a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
+            label[members[b]] = a
+            members[a] += members.pop(b)
+
     for x in range(count):
-        own, n = sets[x], len(sets[x])
-        fits = (label != label[x]) & (100 * size >= PERCENT * n) & (PERCENT * size <= 100 * n)
-        if fits.sum() > 64:
-            probe = own[: first[x]]
-            low, high = np.searchsorted(grams, probe, "left"), np.searchsorted(grams, probe, "right")
-            touched = np.zeros(count, bool)
-            for a, b in zip(low[high - low > 1].tolist(), high[high - low > 1].tolist(), strict=True):
-                touched[owner[a:b]] = True
-            fits &= touched
-        if not fits.any():
+        own, n = sets[spot[x]], int(size[x])
+        if shared[x] < least_overlap(n, n):
             continue
-        alive = np.concatenate(([0], np.cumsum(fits)))
-        stack = [(root, 0)]
+        found = x + 1 + np.flatnonzero(label[x + 1 : until[x]] != label[x])
+        if len(found) > PROBE:
+            probe = own[: first[x]].astype(np.int64) * count
+            low, high = np.searchsorted(keys, probe + x + 1), np.searchsorted(keys, probe + until[x])
+            met = high > low
+            hits = [keys[a:b] for a, b in zip(low[met].tolist(), high[met].tolist(), strict=True)]
+            found, times = np.unique(np.concatenate([keys[:0], *hits]) % count, return_counts=True)
+            found = found[(times >= shared_firsts(n)) & (label[found] != label[x])]
+        found = found[np.minimum(shared[x], shared[found]) >= least_overlap(n, size[found])]
+        if not len(found):
+            continue
+        stack = [(root, 0, np.sort(spot[found]))]
         while stack:
-            node, overlap = stack.pop()
+            node, overlap, wanted = stack.pop()
             if len(node.grams):
                 at = np.searchsorted(own, node.grams)
                 at[at == n] = 0
                 overlap += int((own[at] == node.grams).sum())
                 passed = int(np.searchsorted(own, node.grams[-1], "right"))
-                least = max(node.smallest, -(-PERCENT * n // 100))
-                if overlap + n - passed < least_overlap(n, least):
+                if overlap + n - passed < least_overlap(n, max(node.smallest, n)):
                     continue
-            for y in range(node.low, node.high if not node.children else int(node.child_low[0])):
-                if fits[y] and label[y] != label[x] and overlap >= least_overlap(n, len(sets[y])):
-                    links.append((ids[x], ids[y]))
-                    label[label == label[y]] = label[x]
-            open_ = np.flatnonzero(alive[node.child_high] > alive[node.child_low])
-            stack += [(node.children[k], overlap) for k in open_.tolist()]
-    return links
+            below = int(np.searchsorted(wanted, node.child_low[0])) if node.children else len(wanted)
+            for y in wanted[:below].tolist():
+                if overlap >= least_overlap(n, len(sets[y])):
+                    join(x, int(place[y]))
+            if below < len(wanted):
+                wanted = wanted[below:]
+                child = np.searchsorted(node.child_low, wanted, "right") - 1
+                edge = np.flatnonzero(np.diff(child)) + 1
+                stack += [(node.children[child[0 if not k else edge[k - 1]]], overlap, part) for k, part in enumerate(np.split(wanted, edge))]
+    out = []
+    for rows in members.values():
+        own = sorted(ids[spot[k]] for k in rows)
+        out += [(own[0], i) for i in own[1:]]
+    return out
 
 
 def in_any(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from lexigauge.llm import components as cc
 from lexigauge.llm import ngram_join as nj
 from lexigauge.llm.components import components
 
@@ -113,3 +114,72 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(301)} == {0} and {got[k] for k in range(1000, 1200)} == {1000}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 3])
+def test_components_of_random_links(spark, monkeypatch, stretch):
+    monkeypatch.setattr(cc, "STRETCH", stretch)
+    draw = random.Random(stretch)
+    links = [(draw.randrange(-200, 200), draw.randrange(-200, 200)) for _ in range(150)]
+    links += [*links[:20], (None, 3), (4, None), *((b, a) for a, b in links[:20])]
+    top = {v: v for x in links for v in x if None not in x and x[0] != x[1]}
+    for _ in top:
+        for a, b in links:
+            if a in top and b in top:
+                top[a] = top[b] = min(top[a], top[b])
+    got = components(spark.createDataFrame(links, "a bigint, b bigint").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(top.items())
+
+
+def test_links_that_are_settled_take_one_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(cc, "durable", lambda df, name: written.append(name) or df.cache())
+    monkeypatch.setattr(cc, "release", lambda df: None)
+    links = [(k % 7, k) for k in range(500)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint").repartition(8)).collect()}
+    assert got == {k: k % 7 for k in range(500)}
+    assert len(written) == 2
+
+
+def test_a_large_group_is_not_walked_for_every_set(monkeypatch):
+    """Sets that share a passage but are not similar, and some near copies among them."""
+    draw = np.random.default_rng(3)
+    common = draw.choice(1 << 40, 60, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate((common, draw.integers(0, 1 << 40, 80).astype(np.uint64)))) for _ in range(400)]
+    sets += [s[:-3] for s in sets[:40]]
+    looked = []
+    least = nj.least_overlap
+    monkeypatch.setattr(nj, "least_overlap", lambda a, b: looked.append(1) or least(a, b))
+    links = nj.tree_links(list(range(len(sets))), sets)
+    assert sorted(links) == [(k, 400 + k) for k in range(40)]
+    assert len(looked) < 10 * len(sets)
+
+
+def test_a_bucket_sends_what_it_settles_once(spark):
+    """Documents of the same n-grams: one link each, not a chain under every n-gram."""
+    grams = np.arange(40, dtype=np.uint64)
+    rows = [(k, 40, bytearray(grams.tobytes())) for k in range(100)] + [(k, 40, bytearray((grams + np.uint64(1000 * k)).tobytes())) for k in range(100, 110)]
+    sets = spark.createDataFrame(rows, "doc_id bigint, n bigint, prefix binary")
+    links = nj.candidate_links(sets, 1).collect()
+    assert sorted(map(tuple, links)) == [(0, k) for k in range(1, 100)]
+
+
+def test_tree_that_probes_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(nj, "PROBE", 2)
+    draw = np.random.default_rng(4)
+    for _ in range(60):
+        bases = [draw.integers(0, 400, draw.integers(4, 60)) for _ in range(4)]
+        sets = []
+        for _ in range(40):
+            own = bases[draw.integers(4)].copy()
+            at = draw.integers(0, len(own), draw.integers(0, 1 + len(own) // 4))
+            own[at] = draw.integers(0, 400 if draw.random() < 0.5 else 1 << 30, len(at))
+            sets.append(np.unique(own[: draw.integers(len(own) * 3 // 4, len(own)) + 1].astype(np.uint64)))
+        want = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    want = [want[a] if v == want[b] else v for v in want]
+        least = {v: want.index(v) for v in want}
+        assert sorted(nj.tree_links(list(range(len(sets))), sets)) == sorted((least[v], k) for k, v in enumerate(want) if least[v] != k)
