@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,49 @@ def test_rows_are_made_of_few_documents_at_a_time():
     assert max(b.num_rows for b in out) <= mx.ROW_DOCUMENTS
     got = {d: e for b in out for d, e in zip(b["doc_id"].to_pylist(), b["entries"].to_pylist())}
     assert got == {i: [{"term": f"t{i % 7}", "n": 1, "weight": 1.0}] for i in range(3, 1993) if i % 7 < 6}
+
+
+def test_a_task_holds_few_bytes_a_token_of_the_texts(spark):
+    """A large questionnaire goes to the documents in one pass, so its texts travel and lie as short numbers."""
+    n, words = 3000, 40
+    rows = [(f"x{i}", f"t{(i * 7 + j * j) % 997}", 1 + j % 3) for i in range(n) for j in range(words)]
+    tokens = spark.createDataFrame(rows, "text_id string, term string, n int").groupBy("text_id", "term").agg(F.max("n").alias("n"))
+    ids = pa.array([f"x{i}" for i in range(n)])
+    terms = pa.array(sorted({r[1] for r in rows}))
+    lists = sim._token_lists(tokens, ids, terms)
+    plan = {"a": np.arange(n - 1), "b": np.arange(1, n), "n_texts": n, "terms": terms, **lists}
+    held = len(plan["text"])
+    side = sim._text_lists(plan)
+    per_token = [x.nbytes for x in (plan["text"], plan["n"], side["term"], side["n"], side.get("key", side["n"][:0]))]
+    assert held == tokens.count() and sum(per_token) <= 16 * held
+    # both orders say the same
+    want = {(int(r[0][1:]), r[1], float(r[2])) for r in tokens.collect()}
+    of_term = np.repeat(np.arange(len(terms)), plan["length"])
+    assert {(t, terms[k].as_py(), n) for t, k, n in zip(plan["text"].tolist(), of_term, plan["n"].tolist())} == want
+    of_text = np.repeat(np.arange(n), side["size"])
+    assert {(t, terms[k].as_py(), n) for t, k, n in zip(of_text.tolist(), side["term"].tolist(), side["n"].tolist())} == want
+
+
+def test_a_vocabulary_is_searched_once_and_sums_of_texts_are_made_once(monkeypatch):
+    """Not once for every slice of documents: both are as long as the questionnaire."""
+    words, n_texts, docs = pa.array([f"t{i}" for i in range(50)]), 30, 400
+    plan = _plan({i: {f"t{(i + j) % 60}": 1 + j for j in range(3)} for i in range(n_texts)}, [(i, (i + 1) % n_texts) for i in range(n_texts)], n_texts)
+    vocab = pa.table({"term": words, "_idf": [1.0] * 50, "_at": pa.array(range(50), pa.int32())})
+    bags = pa.array([[{"term": f"t{(3 * d + j) % 70}", "n": 1 + d % 3} for j in range(6)] for d in range(docs)], pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())])))
+    monkeypatch.setattr(mx, "ROW_DOCUMENTS", 10)
+    searched, search, summed, add = [], pc.index_in, [], np.bincount
+    monkeypatch.setattr(pc, "index_in", lambda values, value_set: (searched.append(len(value_set)), search(values, value_set))[1])
+    monkeypatch.setattr(np, "bincount", lambda x, *more, **named: (summed.append(x is plan["text"]), add(x, *more, **named))[1])
+    make = mx._list_task(type("Shared", (), {"value": vocab}), ("count", "tfidf"))
+    task = sim._line_maker(type("Shared", (), {"value": plan}), ("count", "tfidf"), make)
+    batch = pa.record_batch([pa.array(range(docs)), bags], names=["doc_id", "bag"])
+    out = pa.Table.from_batches(list(task(iter([batch])))).to_pylist()
+    assert searched.count(len(plan["terms"])) == 1 and sum(summed) <= 4
+    weight = np.zeros((n_texts, docs))
+    for d in range(docs):
+        for j in range(6):
+            if (3 * d + j) % 70 < 50:
+                for i in range(n_texts):
+                    weight[i, d] += (1 + d % 3) * (1 + ((3 * d + j) % 70 - i) % 60) * (((3 * d + j) % 70 - i) % 60 < 3)
+    got = {(r["of_pair"], r["idx"]): (r["x"], r["y"]) for r in out if r["model"] == "count"}
+    assert got[True, 4][0] == weight[4] @ weight[5] and got[False, 4] == (weight[4] @ weight[4], weight[4].sum())
