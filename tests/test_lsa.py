@@ -1,7 +1,9 @@
 import math
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigauge import ModelConfig
@@ -207,3 +209,47 @@ def test_blocks_do_not_go_through_the_driver(source, dense, monkeypatch):
     other = lsa.decompose(source, 4)
     assert other.sigma == pytest.approx(want.sigma, rel=1e-12)
     assert {r["doc_id"]: r["v"] for r in other.doc_factors().collect()}.keys() == docs.keys()
+
+
+def _sparse_rows(rng, n, size, lengths):
+    """Rows of some lengths over so many columns, as a batch and as a dense matrix; the first row is a slice away."""
+    idx = [rng.choice(size, int(k), replace=False).astype(np.int32) for k in rng.choice(lengths, n)]
+    w = [rng.random(len(i)) for i in idx]
+    dense = np.zeros((n, size))
+    for row, (i, x) in enumerate(zip(idx, w, strict=True)):
+        dense[row, i] = x
+    batch = pa.record_batch([pa.array(idx, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float64()))], names=["idx", "w"])
+    return batch, dense
+
+
+@pytest.mark.parametrize("cells", [7, 1 << 21])
+def test_products_of_rows_of_all_lengths(monkeypatch, cells):
+    rng = np.random.default_rng(2)
+    batch, dense = _sparse_rows(rng, 60, 300, [0, 1, 1, 2, 5, 5, 40, 290])
+    monkeypatch.setattr(lsa, "PRODUCT_CELLS", cells)
+    monkeypatch.setattr(lsa, "TIMES_CELLS", 64)
+    panel = rng.random((300, 4))
+    shared = type("Shared", (), {"value": panel})
+    out = pa.Table.from_batches(list(lsa._product_task(shared)(iter([batch.slice(0, 20), batch.slice(20, 0), batch.slice(20)]))))
+    got = np.zeros((300, 4))
+    got[out["id"].to_numpy()] = np.array(out["v"].to_pylist())
+    assert got == pytest.approx(dense.T @ (dense @ panel))
+    keyed = batch.append_column("doc_id", pa.array(range(60)))
+    found = pa.Table.from_batches(list(lsa._document_task("doc_id", shared)(iter([keyed.slice(3)]))))
+    assert np.array(found["v"].to_pylist()) == pytest.approx((dense @ panel)[3:])
+
+
+def test_short_rows_are_multiplied_together():
+    """Most words are in few documents: a task has no step of its own for each of their rows."""
+    rng = np.random.default_rng(4)
+    batch, dense = _sparse_rows(rng, 5000, 50, [2, 3, 4])
+    steps, panel = [], rng.random((50, 3))
+    task = lsa._product_task(type("Shared", (), {"value": panel}))
+    sys.setprofile(lambda frame, event, arg: steps.append(event))
+    try:
+        out = list(task(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert np.array(pa.Table.from_batches(out)["v"].to_pylist()) == pytest.approx(dense.T @ (dense @ panel))
+    assert len(steps) < 5000
+
